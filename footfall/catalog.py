@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from footfall.functions.props import Properties, display, matches_all
+from footfall.functions.props import Properties, matches_all
 from footfall.functions.scalars import rate
 from footfall.functions.timebuckets import bucket, bucket_spine
 from footfall.operators import (
@@ -939,7 +939,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = Properties(["plan", "k", "missing"])
-    shown = {name: display(inside.value(name)) for name in inside.names}
+    shown = {name: inside.display(name) for name in inside.names}
     rows = sample.events(spark, sf_dir)
     return rows.select("event_id", "timestamp", *(c.alias(n) for n, c in shown.items()))
 
@@ -1046,7 +1046,7 @@ def zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup.latest_rows(sample.events(spark, sf_dir))
-    plan = display(Properties(["plan"]).value("plan"))
+    plan = Properties(["plan"]).display("plan")
     counted = rows.groupBy("event").agg(
         F.count_if(plan == "pro").alias("part"), F.count_if(plan != "").alias("whole")
     )

@@ -27,12 +27,11 @@ class Properties:
         self.names = list(dict.fromkeys(names))
         self.source = source
 
-    def parsed(self) -> Column:
-        """One struct, a VARIANT per property; fields are renamed by position."""
-        wanted = T.StructType([T.StructField(name, T.VariantType()) for name in self.names])
-        numbered = T.StructType(
-            [T.StructField(f"p{i}", T.VariantType()) for i in range(len(self.names))]
-        )
+    def parsed(self, kind: T.DataType | None = None) -> Column:
+        """One struct, a VARIANT (or another type) per property; fields are renamed by position."""
+        kind = kind or T.VariantType()
+        wanted = T.StructType([T.StructField(name, kind) for name in self.names])
+        numbered = T.StructType([T.StructField(f"p{i}", kind) for i in range(len(self.names))])
         # The corrupt-record field must not carry the name of a property.
         spare = "_" + max(self.names, key=len, default="")
         return F.from_json(
@@ -42,6 +41,13 @@ class Properties:
     def value(self, name: str) -> Column:
         return self.parsed().getField(f"p{self.names.index(name)}")
 
+    def display(self, name: str) -> Column:
+        """The value as text: strings unquoted, everything else as its JSON text, '' when absent."""
+        only = Properties([name], self.source)
+        text = only.parsed(T.StringType()).getField("p0")
+        # Text does not tell a JSON null from an absent key; looked at only where it matters.
+        return F.coalesce(text, F.when(only.value(name).isNotNull(), "null"), F.lit(""))
+
 
 # JSON type by the first two letters of the SQL type a VARIANT reports.
 _JSON_TYPES = {

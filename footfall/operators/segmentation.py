@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from footfall.functions.props import Properties, display, matches_all
+from footfall.functions.props import Properties, matches_all
 from footfall.functions.timebuckets import bucket, bucket_starts
 from footfall.operators.identity import by_person, first_links, link_rows, with_person
 from footfall.operators.scope import current_rows
@@ -29,14 +29,12 @@ def segment_counts(
     or with ``approximate`` by a sketch of about 1 % error.
     """
     rows = current_rows(events, project_id, query.start, query.end, [query.event], dedup)
-    names = [f.property for f in query.filters] + ([query.breakdown] if query.breakdown else [])
-    properties = Properties(names)
+    properties = Properties(f.property for f in query.filters)
     if query.filters:
         rows = rows.filter(matches_all(query.filters, properties))
     segment = F.lit("")
     if query.breakdown:
-        label = display(properties.value(query.breakdown))
-        segment = F.when(label == "", NONE).otherwise(label)
+        segment = F.coalesce(F.nullif(properties.display(query.breakdown), F.lit("")), F.lit(NONE))
     rows = rows.withColumns({"bucket": bucket("timestamp", query.interval), "segment": segment})
     keys = ["bucket", "segment"]
     if query.measure == "total":

@@ -90,10 +90,9 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     version_text = F.when(
         F.coalesce(F.col("_k_schema_version"), F.lit("null")) == "null", "None"
     ).otherwise(display(version))
-    errors = F.array_compact(F.array(*(_field_error(n) for n in FIELDS if n != "schema_version")))
     judged = opened.withColumns({
         "_version": typed(version, "number"),
-        "_error": F.try_element_at(errors, F.lit(1)),
+        "_error": F.coalesce(*(_field_error(n) for n in FIELDS if n != "schema_version")),
     })
     reason = (
         F.when(~F.col("_is_json"), "invalid_json")
@@ -106,29 +105,28 @@ def parse_messages(messages: DataFrame) -> DataFrame:
     )
     none = F.array().cast("array<string>")
     texts = F.transform("_list", lambda v: F.try_variant_get(v, "$", "string"))
-    return judged.select(
-        whole_rows(
-            "project_id",
-            "event_id",
-            F.col("_s_event").alias("event"),
-            F.col("_s_distinct_id").alias("distinct_id"),
-            F.col("_s_user_id").alias("user_id"),
-            F.col("_s_anonymous_id").alias("anonymous_id"),
-            millis("timestamp").alias("timestamp"),
-            millis("client_timestamp").alias("client_timestamp"),
-            millis("received_at").alias("received_at"),
-            F.to_json("_v_properties").alias("properties"),
-            F.to_json("_v_context").alias("context"),
-            F.col("_s_ip").alias("ip"),
-            F.col("partition").alias("kafka_partition"),
-            F.col("offset").alias("kafka_offset"),
-            F.coalesce(texts, none).alias("violations"),
-            reason.alias("reason"),
-            F.col("key"),
-            F.col("value"),
-            F.col("topic"),
-        )
+    finished = judged.select(
+        "project_id",
+        "event_id",
+        F.col("_s_event").alias("event"),
+        F.col("_s_distinct_id").alias("distinct_id"),
+        F.col("_s_user_id").alias("user_id"),
+        F.col("_s_anonymous_id").alias("anonymous_id"),
+        millis("timestamp").alias("timestamp"),
+        millis("client_timestamp").alias("client_timestamp"),
+        millis("received_at").alias("received_at"),
+        F.to_json("_v_properties").alias("properties"),
+        F.to_json("_v_context").alias("context"),
+        F.col("_s_ip").alias("ip"),
+        F.col("partition").alias("kafka_partition"),
+        F.col("offset").alias("kafka_offset"),
+        F.coalesce(texts, none).alias("violations"),
+        reason.alias("reason"),
+        "key",
+        "value",
+        "topic",
     )
+    return finished.select(whole_rows(*finished.columns))
 
 
 def event_rows(parsed: DataFrame) -> DataFrame:
