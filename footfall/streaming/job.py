@@ -109,6 +109,11 @@ def store_batch(parsed: DataFrame, batch_id: int, store: Store, exact_window: st
     now = datetime.now(UTC)
     parsed = parsed.persist()
     try:
+        totals = parsed.agg(
+            F.count(F.lit(1)).alias("consumed"), F.count("reason").alias("dead_lettered")
+        ).first()
+        if not totals["consumed"]:  # a micro-batch that only moves the watermark
+            return
         rows = event_rows(parsed)
         if exact_window is not None:
             ids = store.read(spark, store.stored_ids, IDS).filter(F.col("batch_id") != batch_id)
@@ -139,15 +144,9 @@ def store_batch(parsed: DataFrame, batch_id: int, store: Store, exact_window: st
         })
         _overwrite(letters, store.dead_letters, "batch_id")
 
-        totals = parsed.agg(
-            F.count(F.lit(1)).alias("consumed"), F.count("reason").alias("dead_lettered")
-        )
-        report = totals.select(
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-            "consumed",
-            F.lit(inserted.get["rows"]).cast("bigint").alias("inserted"),
-            "dead_lettered",
-        ).withColumn("duplicates", F.expr("consumed - inserted - dead_lettered"))
+        consumed, dead, stored_rows = *totals, inserted.get["rows"]
+        counts = (batch_id, consumed, stored_rows, consumed - stored_rows - dead, dead)
+        report = spark.createDataFrame([counts], REPORT)
         _overwrite(report, store.report, "batch_id")
     finally:
         parsed.unpersist()
@@ -164,9 +163,9 @@ def start_stream(
     """Start (or, with the same store, resume) the ingest stream.
 
     ``dedup="state"`` remembers ids in the state store: cost grows with the new rows only. Rows
-    it drops are not in the batch report; they are ``numDroppedDuplicateRows`` of the query
-    progress. ``dedup="exact"`` keeps a table of stored ids and joins each micro-batch with the
-    part inside the window: exact to the second and first in log order, for lower volumes.
+    it drops reach the batch report through the progress of the query. ``dedup="exact"`` keeps a
+    table of stored ids and joins each micro-batch with the part inside the window: exact to the
+    second and first in log order, for lower volumes.
     """
     if dedup not in ("state", "exact"):
         raise ValueError(f"unknown dedup '{dedup}'")
@@ -190,9 +189,28 @@ def stored_letters(spark: SparkSession, store: Store) -> DataFrame:
     return store.read(spark, store.dead_letters, DEAD_LETTERS)
 
 
-def batch_report(spark: SparkSession, store: Store) -> DataFrame:
-    """``batch_id, consumed, inserted, duplicates, dead_lettered`` per micro-batch."""
-    return store.read(spark, store.report, REPORT)
+def batch_report(
+    spark: SparkSession, store: Store, query: StreamingQuery | None = None
+) -> DataFrame:
+    """``batch_id, consumed, inserted, duplicates, dead_lettered`` per micro-batch.
+
+    State-store dedup drops rows before they are counted here; with its ``query`` the rows read
+    and dropped are taken from the progress of the micro-batches it still remembers.
+    """
+    report = store.read(spark, store.report, REPORT)
+    if query is None:
+        return report
+    progress = report_from_progress(spark, query).select(
+        "batch_id", F.col("consumed").alias("_read"), F.col("duplicates").alias("_dropped")
+    )
+    joined = report.join(progress, "batch_id", "left")
+    return joined.select(
+        "batch_id",
+        F.coalesce("_read", "consumed").alias("consumed"),
+        "inserted",
+        (F.col("duplicates") + F.coalesce("_dropped", F.lit(0))).alias("duplicates"),
+        "dead_lettered",
+    )
 
 
 def report_from_progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
