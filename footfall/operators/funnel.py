@@ -37,22 +37,17 @@ def funnel_levels(
     """
     finish = query.end + timedelta(seconds=query.window_seconds)
     names = {step.event for step in query.steps}
-    rows = current_rows(events, project_id, query.start, finish, names, dedup)
     properties = Properties(f.property for step in query.steps for f in step.filters)
-
     mask = F.lit(0)
     for number, step in enumerate(query.steps):
         hit = (F.col("event") == step.event) & matches_all(step.filters, properties)
         if number == 0:
             hit = hit & (F.col("timestamp") < F.lit(query.end))
         mask = mask + F.when(hit, F.lit(1 << number)).otherwise(F.lit(0))
+    carry = {"second": F.unix_seconds("timestamp"), "steps": mask}
+    rows = current_rows(events, project_id, query.start, finish, names, dedup, carry)
     rows = rows.select(
-        "project_id",
-        "user_id",
-        "anonymous_id",
-        "distinct_id",
-        F.unix_seconds("timestamp").alias("second"),
-        mask.alias("steps"),
+        "project_id", "user_id", "anonymous_id", "distinct_id", "second", "steps"
     ).filter("steps > 0")
 
     first = first_links(link_rows(events) if links is None else links, project_id)

@@ -90,13 +90,14 @@ def with_person(rows: DataFrame, first: DataFrame) -> DataFrame:
     return joined.withColumn("person_id", person).drop("_project", "_anon", "_key", "linked_user")
 
 
-def by_person(
+def resolve(
     rows: DataFrame,
     first: DataFrame,
     grain: list[str],
     measures: Mapping[str, Callable[[str], Column]],
 ) -> DataFrame:
-    """``groupBy(person_id, *grain)`` with self-merging measures (min, max, sum, bit_or).
+    """``with_person`` for rows that will be aggregated by ``grain`` and self-merging measures
+    (min, max, sum, bit_or).
 
     Where Spark would broadcast the links the join costs no shuffle and comes first. Otherwise
     rows are aggregated per raw identity before the join: whatever share of the events one
@@ -105,4 +106,14 @@ def by_person(
     identity = ["project_id", "user_id", "anonymous_id", "distinct_id"]
     if not _planned_as_broadcast(first):
         rows = _aggregate(rows, [*identity, *grain], measures)
-    return _aggregate(with_person(rows, first), ["person_id", *grain], measures)
+    return with_person(rows, first)
+
+
+def by_person(
+    rows: DataFrame,
+    first: DataFrame,
+    grain: list[str],
+    measures: Mapping[str, Callable[[str], Column]],
+) -> DataFrame:
+    """``groupBy(person_id, *grain)`` with self-merging measures, persons resolved on the way."""
+    return _aggregate(resolve(rows, first, grain, measures), ["person_id", *grain], measures)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
-from datetime import datetime, timedelta
+from collections.abc import Collection, Mapping
+from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from footfall.functions.timebuckets import day_ceil, day_floor
@@ -16,8 +16,8 @@ def in_range(events: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """``start <= timestamp < end``, plus the months this implies where the table has them."""
     rows = events.filter((F.col("timestamp") >= F.lit(start)) & (F.col("timestamp") < F.lit(end)))
     if "month" in events.columns:
-        last = end - timedelta(microseconds=1)
-        rows = rows.filter(F.col("month").between(f"{start:%Y%m}", f"{last:%Y%m}"))
+        first, last = start.astimezone(UTC), end.astimezone(UTC) - timedelta(microseconds=1)
+        rows = rows.filter(F.col("month").between(f"{first:%Y%m}", f"{last:%Y%m}"))
     return rows
 
 
@@ -40,16 +40,22 @@ def current_rows(
     end: datetime,
     event_names: Collection[str] = (),
     dedup: bool = True,
+    carry: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Base filter with one copy per event.
 
+    ``carry`` names columns to compute from each row before the dedup. What a query needs from
+    the JSON goes there: then the shuffle moves the results and not the JSON text.
+
     The dedup key holds the day, so whole days are read, then de-duplicated, and only then cut
     to the exact range: the copy stored last decides which time an event has. ``dedup=False``
     is for tables that compaction has already left with one copy per event.
     """
     if not dedup:
-        return project_rows(events, project_id, start, end, event_names)
+        rows = project_rows(events, project_id, start, end, event_names)
+        return rows.withColumns(carry) if carry else rows
     days = project_rows(events, project_id, day_floor(start), day_ceil(end), event_names)
+    days = days.withColumns(carry) if carry else days
     kept = latest_rows(days)
     if (day_floor(start), day_ceil(end)) == (start, end):
         return kept

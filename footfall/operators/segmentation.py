@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from footfall.functions.props import Properties, matches_all
 from footfall.functions.timebuckets import bucket, bucket_starts
-from footfall.operators.identity import by_person, first_links, link_rows, with_person
+from footfall.operators.identity import by_person, first_links, link_rows, resolve
 from footfall.operators.scope import current_rows
 from footfall.plans.requests import SegmentationQuery
 
@@ -28,20 +28,24 @@ def segment_counts(
     ``total`` counts events and needs no identities. ``unique_users`` counts persons exactly,
     or with ``approximate`` by a sketch of about 1 % error.
     """
-    rows = current_rows(events, project_id, query.start, query.end, [query.event], dedup)
     properties = Properties(f.property for f in query.filters)
-    if query.filters:
-        rows = rows.filter(matches_all(query.filters, properties))
     segment = F.lit("")
     if query.breakdown:
         segment = F.coalesce(F.nullif(properties.display(query.breakdown), F.lit("")), F.lit(NONE))
-    rows = rows.withColumns({"bucket": bucket("timestamp", query.interval), "segment": segment})
+    carry = {"bucket": bucket("timestamp", query.interval), "segment": segment}
+    if query.filters:
+        carry["_matches"] = matches_all(query.filters, properties)
+    rows = current_rows(
+        events, project_id, query.start, query.end, [query.event], dedup, carry
+    )
+    if query.filters:
+        rows = rows.filter("_matches")
     keys = ["bucket", "segment"]
     if query.measure == "total":
         return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("value"))
     first = first_links(link_rows(events) if links is None else links, project_id)
     if approximate:
-        persons = with_person(rows, first)
+        persons = resolve(rows, first, keys, {})
         return persons.groupBy(*keys).agg(
             F.approx_count_distinct("person_id", 0.01).alias("value")
         )

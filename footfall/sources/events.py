@@ -68,7 +68,7 @@ def load_events(rows: DataFrame, path: str, batch_id: str) -> None:
     )
 
 
-def _child_dirs(spark: SparkSession, path: str, prefix: str) -> dict[str, str]:
+def child_dirs(spark: SparkSession, path: str, prefix: str) -> dict[str, str]:
     """Directory listing ``{value: path}`` of one partition level; names only, no data."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -82,13 +82,13 @@ def _child_dirs(spark: SparkSession, path: str, prefix: str) -> dict[str, str]:
     return found
 
 
-def _delete_dir(spark: SparkSession, path: str) -> None:
+def delete_dir(spark: SparkSession, path: str) -> None:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
 def months(spark: SparkSession, path: str) -> list[str]:
-    return sorted(_child_dirs(spark, path, "month="))
+    return sorted(child_dirs(spark, path, "month="))
 
 
 def compact_month(spark: SparkSession, path: str, month: str) -> str | None:
@@ -99,7 +99,7 @@ def compact_month(spark: SparkSession, path: str, month: str) -> str | None:
     meanwhile are in directories of their own and stay.
     """
     root = f"{path}/month={month}"
-    sources = _child_dirs(spark, root, "batch_id=")
+    sources = child_dirs(spark, root, "batch_id=")
     if not sources:
         return None
     rows = scan_events(spark, path).filter(
@@ -108,13 +108,13 @@ def compact_month(spark: SparkSession, path: str, month: str) -> str | None:
     target = f"compact-{uuid.uuid4().hex}"
     _sorted_by_key(latest_rows(rows).select(*COLUMNS)).write.parquet(f"{root}/batch_id={target}")
     for source in sources.values():
-        _delete_dir(spark, source)
+        delete_dir(spark, source)
     return target
 
 
 def drop_months_before(spark: SparkSession, path: str, oldest_kept: str) -> list[str]:
     """Retention: remove whole months older than ``oldest_kept`` (yyyyMM) without reading them."""
-    dropped = {m: d for m, d in _child_dirs(spark, path, "month=").items() if m < oldest_kept}
+    dropped = {m: d for m, d in child_dirs(spark, path, "month=").items() if m < oldest_kept}
     for directory in dropped.values():
-        _delete_dir(spark, directory)
+        delete_dir(spark, directory)
     return sorted(dropped)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +18,7 @@ from footfall.operators.dedup import drop_recently_stored, first_in_batch, remem
 from footfall.operators.identity import identity_links
 from footfall.plans import limits
 from footfall.schemas import DEAD_LETTERS, EVENTS, IDENTITY_LINKS
-from footfall.sources.events import write_events
+from footfall.sources.events import child_dirs, delete_dir, write_events
 from footfall.streaming.messages import dead_letters, event_rows, parse_messages
 
 IDS = T.StructType([
@@ -120,15 +120,12 @@ def store_batch(parsed: DataFrame, batch_id: int, store: Store, exact_window: st
             oldest = F.date_format(F.lit(now) - F.expr(f"interval {exact_window}"), "yyyyMMddHH")
             ids = ids.filter(F.col("hour") >= oldest)
             rows = drop_recently_stored(first_in_batch(rows), ids, F.lit(now), exact_window)
-        inserted = Observation()
-        counted = rows.withColumn("ingested_at", F.lit(now)).observe(
-            inserted, F.count(F.lit(1)).alias("rows")
-        )
-        write_events(counted, store.events, batch_id)
+        write_events(rows.withColumn("ingested_at", F.lit(now)), store.events, batch_id)
 
-        if inserted.get["rows"]:
-            # What was stored is read back, not computed again.
-            stored = spark.read.schema(EVENTS).parquet(f"{store.events}/month=*/batch_id={batch_id}")
+        # What was stored is read back, not computed again; its count comes from file footers.
+        stored = store.read(spark, f"{store.events}/month=*/batch_id={batch_id}", EVENTS)
+        inserted = stored.count()
+        if inserted:
             links = identity_links(stored).withColumn("batch_id", F.lit(batch_id))
             _overwrite(links, store.links, "batch_id")
             if exact_window is not None:
@@ -144,8 +141,8 @@ def store_batch(parsed: DataFrame, batch_id: int, store: Store, exact_window: st
         })
         _overwrite(letters, store.dead_letters, "batch_id")
 
-        consumed, dead, stored_rows = *totals, inserted.get["rows"]
-        counts = (batch_id, consumed, stored_rows, consumed - stored_rows - dead, dead)
+        consumed, dead = totals
+        counts = (batch_id, consumed, inserted, consumed - inserted - dead, dead)
         report = spark.createDataFrame([counts], REPORT)
         _overwrite(report, store.report, "batch_id")
     finally:
@@ -180,6 +177,15 @@ def start_stream(
     return writer.trigger(**trigger).start()
 
 
+def forget_ids(spark: SparkSession, store: Store, before: datetime) -> list[str]:
+    """Remove the hours of the stored-id table that ended before ``before``."""
+    hours = child_dirs(spark, store.stored_ids, "hour=")
+    old = {hour: path for hour, path in hours.items() if hour < f"{before.astimezone(UTC):%Y%m%d%H}"}
+    for path in old.values():
+        delete_dir(spark, path)
+    return sorted(old)
+
+
 def stored_links(spark: SparkSession, store: Store) -> DataFrame:
     """The links found so far, one part per micro-batch; read through ``merge_links``."""
     return store.read(spark, store.links, IDENTITY_LINKS)
