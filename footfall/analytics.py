@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from footfall.operators import funnel, identity, listings, retention, segmentation, sessions
+from footfall.operators.scope import Dedup
 from footfall.plans.requests import (
     FunnelQuery,
     ListingQuery,
@@ -21,13 +22,13 @@ class ProjectAnalytics:
     """Queries over the events of one project.
 
     ``links`` is a stored table of identity links; without it the links are found in ``events``
-    by each query, over all time. ``dedup=False`` is for tables left by compaction.
+    by each query, over all time. ``dedup`` may name the months compaction has settled.
     """
 
     events: DataFrame
     project_id: str
     links: DataFrame | None = None
-    dedup: bool = True
+    dedup: Dedup = True
 
     @property
     def _source(self) -> tuple[DataFrame, str]:

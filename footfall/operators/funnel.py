@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from footfall.functions.props import Properties, matches_all
 from footfall.functions.scalars import rate
 from footfall.operators.identity import by_person, first_links, link_rows
-from footfall.operators.scope import current_rows
+from footfall.operators.scope import Dedup, current_rows
 from footfall.plans.requests import FunnelQuery
 
 
@@ -24,7 +24,7 @@ def funnel_levels(
     project_id: str,
     query: FunnelQuery,
     links: DataFrame | None = None,
-    dedup: bool = True,
+    dedup: Dedup = True,
 ) -> DataFrame:
     """``person_id, level``: the deepest step each person who entered has reached.
 
@@ -102,6 +102,6 @@ def funnel(
     project_id: str,
     query: FunnelQuery,
     links: DataFrame | None = None,
-    dedup: bool = True,
+    dedup: Dedup = True,
 ) -> DataFrame:
     return funnel_report(funnel_levels(events, project_id, query, links, dedup), query)

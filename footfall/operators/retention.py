@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from footfall.functions.scalars import rate
 from footfall.functions.timebuckets import day_floor
 from footfall.operators.identity import by_person, first_links, link_rows
-from footfall.operators.scope import current_rows
+from footfall.operators.scope import Dedup, current_rows
 from footfall.plans.requests import RetentionQuery
 
 _DAYS = {"day": 1, "week": 7}
@@ -23,7 +23,7 @@ def _first_period(query: RetentionQuery) -> datetime:
 
 
 def _cells(
-    events: DataFrame, project_id: str, query: RetentionQuery, links: DataFrame | None, dedup: bool
+    events: DataFrame, project_id: str, query: RetentionQuery, links: DataFrame | None, dedup: Dedup
 ) -> DataFrame:
     """``cohort, offset, users``; offset -1 holds the size of the cohort.
 
@@ -77,7 +77,7 @@ def retention_matrix(
     project_id: str,
     query: RetentionQuery,
     links: DataFrame | None = None,
-    dedup: bool = True,
+    dedup: Dedup = True,
 ) -> DataFrame:
     """``cohort, offset, users``: persons of the cohort active ``offset`` periods later."""
     return _cells(events, project_id, query, links, dedup).filter("offset >= 0")
@@ -88,7 +88,7 @@ def cohort_sizes(
     project_id: str,
     query: RetentionQuery,
     links: DataFrame | None = None,
-    dedup: bool = True,
+    dedup: Dedup = True,
 ) -> DataFrame:
     """``cohort, size``: persons by the period of their first start event in the range."""
     cells = _cells(events, project_id, query, links, dedup).filter("offset = -1")
@@ -100,7 +100,7 @@ def retention(
     project_id: str,
     query: RetentionQuery,
     links: DataFrame | None = None,
-    dedup: bool = True,
+    dedup: Dedup = True,
 ) -> DataFrame:
     """``cohort, size, offset, users, rate`` with every offset from 0 to ``periods``.
 

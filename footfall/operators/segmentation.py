@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from footfall.functions.props import Properties, matches_all
 from footfall.functions.timebuckets import bucket, bucket_starts
 from footfall.operators.identity import by_person, first_links, link_rows, resolve
-from footfall.operators.scope import current_rows
+from footfall.operators.scope import Dedup, current_rows
 from footfall.plans.requests import SegmentationQuery
 
 OTHER = "$other"
@@ -20,7 +20,7 @@ def segment_counts(
     project_id: str,
     query: SegmentationQuery,
     links: DataFrame | None = None,
-    dedup: bool = True,
+    dedup: Dedup = True,
     approximate: bool = False,
 ) -> DataFrame:
     """``bucket, segment, value``, without empty buckets; segment is '' without a breakdown.
@@ -77,7 +77,7 @@ def segmentation(
     project_id: str,
     query: SegmentationQuery,
     links: DataFrame | None = None,
-    dedup: bool = True,
+    dedup: Dedup = True,
     approximate: bool = False,
 ) -> DataFrame:
     """The full series: ``rank, segment, bucket, value, total``, every bucket present.

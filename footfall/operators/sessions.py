@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from footfall.functions.scalars import rate
 from footfall.functions.timebuckets import bucket, bucket_spine
 from footfall.operators.identity import by_person, first_links, link_rows
-from footfall.operators.scope import current_rows
+from footfall.operators.scope import Dedup, current_rows
 from footfall.plans.requests import SessionsQuery
 
 FOLLOW = timedelta(hours=24)
@@ -21,7 +21,7 @@ def sessionize(
     project_id: str,
     query: SessionsQuery,
     links: DataFrame | None = None,
-    dedup: bool = True,
+    dedup: Dedup = True,
 ) -> DataFrame:
     """``person_id, started, ended, events`` of every session starting in the range.
 
@@ -97,7 +97,7 @@ def session_report(
     project_id: str,
     query: SessionsQuery,
     links: DataFrame | None = None,
-    dedup: bool = True,
+    dedup: Dedup = True,
 ) -> DataFrame:
     """``bucket, sessions, users`` and averages, every bucket present."""
     counted = session_buckets(sessionize(events, project_id, query, links, dedup), query.interval)
@@ -116,7 +116,7 @@ def session_totals(
     project_id: str,
     query: SessionsQuery,
     links: DataFrame | None = None,
-    dedup: bool = True,
+    dedup: Dedup = True,
 ) -> DataFrame:
     """Session-weighted totals. Users are not additive over buckets, so they have none."""
     counted = session_buckets(sessionize(events, project_id, query, links, dedup), query.interval)

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from footfall.operators.dedup import latest_rows
 from footfall.schemas import EVENT_PARTITIONS, EVENTS
 
+COMPACTED = "compact-"
 COLUMNS = EVENTS.fieldNames()
 # Queries filter by project, then time, then event; the id makes ranges splittable anywhere.
 SORT_KEY = ("project_id", "date", "event", "event_id")
@@ -105,13 +106,24 @@ def compact_month(spark: SparkSession, path: str, month: str) -> str | None:
     rows = scan_events(spark, path).filter(
         (F.col("month") == month) & F.col("batch_id").isin(sorted(sources))
     )
-    target = f"compact-{uuid.uuid4().hex}"
+    target = f"{COMPACTED}{uuid.uuid4().hex}"
     _sorted_by_key(latest_rows(rows).select(*COLUMNS)).write.parquet(f"{root}/batch_id={target}")
     for source in sources.values():
         delete_dir(spark, source)
     return target
 
 
+def settled_months(spark: SparkSession, path: str) -> list[str]:
+    """Months that hold the result of one compaction and nothing written since: one copy per
+    event. Known from directory names alone."""
+    found = []
+    for month in months(spark, path):
+        batches = child_dirs(spark, f"{path}/month={month}", "batch_id=")
+        if len(batches) == 1 and next(iter(batches)).startswith(COMPACTED):
+            found.append(month)
+    return found
+
+
 def drop_months_before(spark: SparkSession, path: str, oldest_kept: str) -> list[str]:
     """Retention: remove whole months older than ``oldest_kept`` (yyyyMM) without reading them."""
     dropped = {m: d for m, d in child_dirs(spark, path, "month=").items() if m < oldest_kept}

@@ -13,6 +13,7 @@ import footfall.streaming.job as job
 from footfall.operators.dedup import drop_recently_stored, latest_rows
 from footfall.operators.identity import merge_links
 from footfall.operators.reports import backlog, offsets_from_progress, total_backlog
+from footfall.operators.scope import current_rows
 from footfall.schemas import RAW_MESSAGES
 from footfall.sources.events import (
     compact_month,
@@ -20,6 +21,7 @@ from footfall.sources.events import (
     load_events,
     months,
     scan_events,
+    settled_months,
     write_events,
 )
 from footfall.sources.raw_topic import dead_letter_records, read_raw_stream
@@ -251,6 +253,22 @@ def test_table_writes_compaction_and_month_drop(spark, table, tmp_path):
     for month in months(spark, path):
         compact_month(spark, path, month)
     assert scan_events(spark, path).count() == 10
+    assert settled_months(spark, path) == ["202606", "202607", "202608"]
+    write_events(events.filter("timestamp >= '2026-08-01'"), path, 9)
+    settled = settled_months(spark, path)
+    assert settled == ["202606", "202607"]
+    # Settled months skip the dedup, the others do not; the rows are the same.
+    stored = scan_events(spark, path)
+    for span in ((at(0), at(100)), (at(3, 5), at(40)), (at(65), at(90))):
+        ids = [
+            sorted(r["event_id"] for r in current_rows(stored, PROJECT, *span, dedup=d).collect())
+            for d in (True, settled)
+        ]
+        assert ids[0] == ids[1]
+        assert len(ids[0]) == sum(span[0] <= r["timestamp"] < span[1] for r in rows)
+    plan = current_rows(stored, PROJECT, at(0), at(30), dedup=settled)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+    compact_month(spark, path, "202608")
     assert drop_months_before(spark, path, "202607") == ["202606"]
     assert months(spark, path) == ["202607", "202608"]
     assert scan_events(spark, path).count() == sum(r["timestamp"].month > 6 for r in rows)
@@ -265,8 +283,6 @@ def test_old_files_read_no_violations(spark, table, tmp_path):
 
 
 def test_scan_prunes_months_and_pushes_the_key(spark, table, tmp_path):
-    from footfall.operators.scope import current_rows
-
     path = f"{tmp_path}/events"
     load_events(table([row("e", "u", at(40 * i)) for i in range(4)]), path, "b")
     rows = current_rows(scan_events(spark, path), PROJECT, at(0), at(20), ["e"])
