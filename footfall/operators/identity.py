@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footfall.operators.joins import planned_as_broadcast
+
 ANONYMOUS = ("project_id", "anonymous_id")
 
 
@@ -54,13 +56,6 @@ def first_links(links: DataFrame, project_id: str | None = None) -> DataFrame:
     return links.groupBy(*ANONYMOUS).agg(first.alias("linked_user"))
 
 
-def _planned_as_broadcast(table: DataFrame) -> bool:
-    """Whether Spark's own size estimate lets it broadcast the table."""
-    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
-
-
 def _aggregate(
     rows: DataFrame, keys: list[str], measures: Mapping[str, Callable[[str], Column]]
 ) -> DataFrame:
@@ -104,7 +99,7 @@ def resolve(
     anonymous id has, at most one row per grain value of it is shuffled into the join.
     """
     identity = ["project_id", "user_id", "anonymous_id", "distinct_id"]
-    if not _planned_as_broadcast(first):
+    if not planned_as_broadcast(first):
         rows = _aggregate(rows, [*identity, *grain], measures)
     return with_person(rows, first)
 

@@ -20,7 +20,7 @@ from footfall.functions.scalars import (
     iso,
     zoned_timestamp,
 )
-from footfall.operators.identity import _planned_as_broadcast
+from footfall.operators.joins import planned_as_broadcast
 from footfall.operators.tracking_plan import event_violations, latest_plans
 from footfall.plans import limits
 
@@ -225,7 +225,7 @@ def check_plans(items: DataFrame, plans: DataFrame, salts: int = 32) -> DataFram
     """
     active = latest_plans(plans).select("project_id", "plan")
     keys = ["project_id"]
-    if not _planned_as_broadcast(active):
+    if not planned_as_broadcast(active):
         items = items.withColumn("_salt", F.pmod(F.xxhash64("batch_id", "index"), F.lit(salts)).cast("int"))
         active = active.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         keys.append("_salt")

@@ -1,0 +1,20 @@
+"""Which way a join against a dimension-like table will go."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def planned_as_broadcast(table: DataFrame) -> bool:
+    """Whether Spark's own size estimate lets it broadcast the table.
+
+    No hint is given anywhere for such tables: Spark broadcasts below
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles above it. Callers only learn which, to
+    prepare a shuffle join against hot keys. Without access to the plan the answer is no.
+    """
+    frame = getattr(table, "_jdf", None)
+    if frame is None:
+        return False
+    limit = table.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = frame.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit

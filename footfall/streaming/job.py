@@ -82,7 +82,8 @@ def drop_seen_ids(parsed: DataFrame, window: str = limits.DEDUP_WINDOW) -> DataF
 
     The clock is the start of the micro-batch, so no row is ever late and none is discarded. An
     id is remembered for at least ``window`` and at most twice as long, counted from when it was
-    stored. Dead letters get ids of their own and all pass.
+    stored. Of copies within one micro-batch any one stays. Dead letters get ids of their own
+    and all pass.
     """
     place = F.concat_ws("/", F.lit("letter"), "topic", "kafka_partition", "kafka_offset")
     identity = F.when(F.col("reason").isNull(), F.concat_ws("/", "project_id", "event_id"))
