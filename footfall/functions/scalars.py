@@ -35,7 +35,7 @@ def canonical_uuid(text: Column) -> Column:
         r"|\{[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\})$"
     )
     hexed = F.regexp_replace(bare, "-", "")
-    return F.when(
+    return F.when(text.rlike("^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), text).when(
         well_formed,
         F.regexp_replace(hexed, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
     )
@@ -48,10 +48,12 @@ ANY_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}(?:[Tt _]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)?(
 
 def zoned_timestamp(text: Column) -> Column:
     """Instant of an ISO date-time that names its zone, else NULL."""
-    spark_form = F.regexp_replace(
-        F.regexp_replace(F.upper(text), "[ _]", "T"), r"([+-]\d{2})(\d{2})$", "$1:$2"
+    plain = F.translate(text, "tz_", "TZ ")
+    # Spark wants the seconds, which ISO lets go.
+    with_seconds = F.when(F.substring(plain, 17, 1) == ":", plain).otherwise(
+        F.concat(F.substring(plain, 1, 16), F.lit(":00"), F.substring(plain, 17, 6))
     )
-    return F.when(text.rlike(ZONED_TIMESTAMP), F.try_to_timestamp(spark_form))
+    return F.when(text.rlike(ZONED_TIMESTAMP), F.try_to_timestamp(with_seconds))
 
 
 def iso(column: Column | str) -> Column:

@@ -298,3 +298,17 @@ def test_quota_is_charged_per_event_and_per_project(spark):
 def test_a_batch_larger_than_the_burst_exceeds_it(batches):
     usage = quota_usage(batch_costs(batches([item()] * 10, [item()])), rate=0.001, burst=10).collect()
     assert [r["exceeded"] for r in sorted(usage, key=lambda r: r["batch_id"])] == [False, True]
+
+
+def test_zoned_timestamps(spark):
+    from footfall.functions.scalars import zoned_timestamp
+
+    same = int(datetime(2026, 1, 1, 10, 0, 0, 500_000, tzinfo=UTC).timestamp() * 1_000_000)
+    forms = [
+        "2026-01-01T10:00:00.5Z", "2026-01-01t10:00:00.5z", "2026-01-01 10:00:00.500+00:00",
+        "2026-01-01_10:00:00.5Z", "2026-01-01T15:30:00.5+0530", "2026-01-01T05:00:00.5-05:00",
+    ]
+    wrong = ["2026-01-01T10:00:00", "2026-01-01Z", "2026-02-30T10:00:00Z", "x", ""]
+    rows = spark.createDataFrame([(t,) for t in forms + wrong + ["2026-01-01T10:00Z"]], "t string")
+    got = [r[0] for r in rows.select(F.unix_micros(zoned_timestamp(F.col("t")))).collect()]
+    assert got == [same] * len(forms) + [None] * len(wrong) + [same - 500_000]
