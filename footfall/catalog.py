@@ -13,7 +13,6 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from footfall.functions.props import Properties, matches_all
 from footfall.functions.scalars import rate
@@ -1453,7 +1452,7 @@ def next_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# --- The whole demo data set, as the reference's own benchmark asks -----------------------------
+# --- The whole demo data set ------------------------------------------------------------------
 
 
 @register(

@@ -103,9 +103,7 @@ def compact_month(spark: SparkSession, path: str, month: str) -> str | None:
     sources = child_dirs(spark, root, "batch_id=")
     if not sources:
         return None
-    rows = scan_events(spark, path).filter(
-        (F.col("month") == month) & F.col("batch_id").isin(sorted(sources))
-    )
+    rows = spark.read.schema(EVENTS).parquet(*sources.values())
     target = f"{COMPACTED}{uuid.uuid4().hex}"
     _sorted_by_key(latest_rows(rows).select(*COLUMNS)).write.parquet(f"{root}/batch_id={target}")
     for source in sources.values():

@@ -2,11 +2,19 @@ from __future__ import annotations
 
 from conftest import PROJECT, at, row
 
+from footfall.analytics import ProjectAnalytics
 from footfall.operators.funnel import funnel
 from footfall.operators.identity import identity_links, list_links, merge_links
 from footfall.operators.retention import retention
 from footfall.operators.segmentation import segmentation
-from footfall.plans.requests import FunnelQuery, FunnelStep, RetentionQuery, SegmentationQuery
+from footfall.plans.requests import (
+    FunnelQuery,
+    FunnelStep,
+    ListingQuery,
+    RetentionQuery,
+    SegmentationQuery,
+    SessionsQuery,
+)
 
 
 def visitor_becomes_user():
@@ -97,3 +105,20 @@ def test_retention_follows_the_person(table):
     )
     rows = retention(events, PROJECT, query).orderBy("offset").collect()
     assert [r["users"] for r in rows] == [0, 1]
+
+
+def test_one_object_answers_everything(table):
+    shop = ProjectAnalytics(table(visitor_becomes_user()), PROJECT)
+    span = {"start": at(0), "end": at(7)}
+    listing = ListingQuery(as_of=at(3), days=7)
+    steps = [FunnelStep("page_viewed"), FunnelStep("purchase")]
+    views = SegmentationQuery(event="page_viewed", measure="unique_users", **span)
+    assert shop.segmentation(views).first()["total"] == 1
+    assert shop.segmentation(views, approximate=True).first()["total"] == 1
+    assert shop.funnel(FunnelQuery(steps=steps, **span)).agg({"users": "sum"}).first()[0] == 2
+    assert shop.retention(RetentionQuery(start_event="signup", **span)).count() == 9
+    assert shop.sessions(SessionsQuery(**span)).count() == 7
+    assert shop.session_totals(SessionsQuery(**span)).first()["sessions"] == 3
+    assert shop.event_names(listing).count() == 3
+    assert shop.violation_counts(listing).count() == 0
+    assert shop.identity_links().count() == 1

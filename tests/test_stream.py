@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 import shutil
 import uuid
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from conftest import PROJECT, at, row
@@ -230,6 +230,18 @@ def test_backlog_from_progress(runner, spark):
     assert total_backlog(behind).first()["behind"] == 3
 
 
+def test_old_ids_are_forgotten(spark, tmp_path):
+    runner = Runner(spark, str(tmp_path), "exact")
+    same = message()
+    runner.send(same)
+    runner.run()
+    assert job.forget_ids(spark, runner.store, datetime.now(UTC) - timedelta(hours=24)) == []
+    assert len(job.forget_ids(spark, runner.store, datetime.now(UTC) + timedelta(hours=2))) == 1
+    runner.send(same)
+    runner.run()
+    assert [r[1] for r in runner.report()] == [1, 1]
+
+
 def test_window_is_24_hours_from_storing(spark):
     rows = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "a")], "project_id string, event_id string")
     now = datetime(2026, 6, 2, tzinfo=UTC)
