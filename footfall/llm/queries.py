@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from footfall.llm import near_dedup, quality
+from footfall.llm import decontaminate, near_dedup, pii, quality, segment
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,7 +45,7 @@ sets AS (
     SELECT doc_id, CASE
         WHEN len(w) = 0 THEN []
         WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s
+        ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
     FROM words
 ),
 shingles AS (SELECT doc_id, unnest(s) AS x FROM sets),
@@ -119,3 +120,76 @@ FROM counts"""
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.assess(read(spark, sf_dir, "documents"))
     return found.drop("host", "text_hash", "removed_lines")
+
+
+OP7 = f"""
+WITH d AS (SELECT doc_id, {SQL_ALNUM.format(SQL_LOWER.format("text"))} AS w FROM documents),
+items AS (
+    SELECT CAST(item_id AS VARCHAR) AS item_id, {SQL_ALNUM.format(SQL_LOWER.format("text"))} AS w FROM benchmark
+),
+wanted AS (
+    SELECT DISTINCT item_id, least(13, len(w)) AS size, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+    FROM items, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS r(i) WHERE len(w) > 0
+),
+sizes AS (SELECT DISTINCT size FROM wanted),
+grams AS (
+    SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS g
+    FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size)
+),
+found AS (SELECT doc_id, item_id, i, grams.size FROM grams JOIN wanted USING (size, g)),
+hits AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM found) GROUP BY doc_id
+),
+held AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id)"""
+
+
+@register("op7_decontaminate", OP7)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.withColumn("items_sha256", decontaminate.items_digest(F.col("spans"))).drop("text_hash", "spans")
+
+
+@register("op9_segment")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of each document, and whether the first gives the text back."""
+    found = segment.encode(read(spark, sf_dir, "documents"))
+    first = F.col("samples")[0]
+    return found.select(
+        "doc_id",
+        F.size("samples").alias("n_samples"),
+        F.size(first["ids"]).cast("long").alias("n_pieces"),
+        first["log_prob"].alias("log_prob"),
+        F.transform("samples", lambda s: s["inclusion"]).alias("inclusion"),
+        F.transform("samples", lambda s: F.xxhash64(s["ids"])).alias("ids_hash"),
+        (segment.decode(first["ids"]) == F.col("text")).alias("round_trip"),
+    )
+
+
+def count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@register("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*pii.BASE))
+    return pii.detect(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(count_kind(spans, kind).alias(f"n_{kind}") for kind in pii.BASE),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(spans).alias("spans"),
+    )
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import xxhash
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,5 +142,10 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, count: str, how: s
     )
 
 
-def empty_like(spark: SparkSession, schema) -> DataFrame:
-    return spark.createDataFrame([], schema)
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcasts a value of this subpackage's classes, by value as its functions are."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared: Broadcast):
+    return pickle.loads(shared.value)
