@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import decontaminate, near_dedup, pii, quality, segment
+from footfall.llm import decontaminate, license_scan, near_dedup, pii, quality, secret_scan, segment, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,42 @@ SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 SQL_BLANK = "regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0D]+')"
 SQL_ALNUM = "regexp_extract_all(coalesce({}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+@register("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places, both = F.col("places"), F.concat("places", "notices")
+    starts = F.transform(places, lambda m: m["start"])
+    return license_scan.scan(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        license_scan.label_list(places).alias("base_labels"),
+        license_scan.label_list(both).alias("labels"),
+        F.coalesce(F.array_max(F.transform(both, lambda m: m["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+OP2 = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS size FROM pages
+),
+last AS (SELECT h, max(page_id) AS response_id FROM p GROUP BY h)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr(
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + CAST((CAST('0x' || substr(h, 1 + 5 * (k // 4), 5) AS INTEGER) >> (15 - 5 * (k % 4))) & 31 AS INTEGER), 1)), '')
+           AS payload_digest,
+       CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response_id THEN response_id END AS refers_to, true AS intact
+FROM p JOIN last USING (h)"""
+
+
+@register("op2_warc", OP2)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(read(spark, sf_dir, "pages"))
+
+
 OP4 = f"""
 WITH RECURSIVE words AS (
     SELECT doc_id, {SQL_BLANK.format(SQL_LOWER.format("text"))} AS w FROM documents
@@ -156,6 +192,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("items_sha256", decontaminate.items_digest(F.col("spans"))).drop("text_hash", "spans")
 
 
+def count_kind(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@register("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"].isin(*secret_scan.BASE))
+    return secret_scan.detect(read(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *(count_kind(spans, kind).alias(f"n_{kind}") for kind in secret_scan.BASE),
+        F.sha2(pii.listed(base), 256).alias("base_sha256"),
+        pii.listed(spans).alias("spans"),
+    )
+
+
 @register("op9_segment")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two segmentations of each document, and whether the first gives the text back."""
@@ -172,10 +224,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def count_kind(spans: Column, kind: str) -> Column:
-    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
-
-
 @register("op10_pii")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
