@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import decontaminate, license_scan, near_dedup, pii, quality, secret_scan, segment, warc
+from footfall.llm import chat, decontaminate, license_scan, lm_score, near_dedup, pii, quality, secret_scan, segment, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +73,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(read(spark, sf_dir, "pages"))
 
 
+@register("op3_chat_format")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
 OP4 = f"""
 WITH RECURSIVE words AS (
     SELECT doc_id, {SQL_BLANK.format(SQL_LOWER.format("text"))} AS w FROM documents
@@ -108,6 +113,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), near_dedup.NearDup(shingle=4))
 
 
+@register("op5_lm_score")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(read(spark, sf_dir, "documents"))
+
+
 OP6 = f"""
 WITH body AS (
     SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, {SQL_BLANK.format("text")} AS w FROM documents
