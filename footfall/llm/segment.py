@@ -212,25 +212,66 @@ class Lattice:
     def path_logp(self, arcs) -> float:
         return float(self.logp[np.asarray(arcs, np.int64)].sum())
 
-    def draw_other(self, word: int, taken: list[tuple[int, ...]], noise: Iterator[float]) -> tuple[int, ...]:
+    def _taken(self, word: int, taken: list[tuple[int, ...]]) -> list[list[tuple[int, dict[int, int]]]]:
+        """The taken paths as a trie: per depth, (node, next entry by arc)."""
+        levels, members = [], [(int(self.start[word]), taken)]
+        while members:
+            level, following = [], []
+            for node, paths in members:
+                below: dict[int, list] = defaultdict(list)
+                for path in paths:
+                    if len(path) > len(levels):
+                        below[path[len(levels)]].append(path)
+                level.append((node, {arc: len(following) + k for k, arc in enumerate(below)}))
+                following += [(node + int(self.size[arc]), own) for arc, own in below.items()]
+            levels.append(level)
+            members = following
+        return levels
+
+    def _masses(self, levels) -> list[list[float]]:
+        """Probability, from each node of the trie on, of the paths that are not taken; sums without cancellation."""
+        out: list[list[float]] = [[] for _ in levels]
+        for depth in range(len(levels) - 1, -1, -1):
+            for node, following in levels[depth]:
+                total = 0.0
+                if following:
+                    for arc in range(int(self.low[node]), int(self.low[node + 1])):
+                        rest = out[depth + 1][following[arc]] if arc in following else 1.0
+                        total += math.exp(self.logp[arc]) * rest
+                out[depth].append(total)
+        return out
+
+    def others(self, word: int, taken: list[tuple[int, ...]]) -> float:
+        """Probability of the word's paths that are none of ``taken``."""
+        return self._masses(self._taken(word, taken))[0][0]
+
+    def draw_other(self, word: int, taken: list[tuple[int, ...]], noise: Iterator[float]) -> tuple[int, ...] | None:
         """A path of the word that is none of ``taken``, with its probability among the others."""
+        levels = self._taken(word, taken)
+        masses = self._masses(levels)
+        if masses[0][0] <= 0:
+            return None
         node, end = int(self.start[word]), int(self.start[word + 1])
         path: list[int] = []
+        entry: int | None = 0  # of the trie, while the path follows taken ones
         while node < end:
-            low, high = int(self.low[node]), int(self.low[node + 1])
-            masses = []
-            for arc in range(low, high):
-                used = sum(math.exp(self.path_logp(t[len(path) + 1 :])) for t in taken if t[: len(path) + 1] == (*path, arc))
-                masses.append(math.exp(self.logp[arc]) * max(0.0, 1.0 - used) if used < 1 - 1e-12 else 0.0)
-            at = next(noise) * sum(masses)
-            chosen = max(range(len(masses)), key=masses.__getitem__)
-            for k, mass in enumerate(masses):
-                at -= mass
-                if at < 0 and mass > 0:
+            depth, arcs = len(path), range(int(self.low[node]), int(self.low[node + 1]))
+            following = levels[depth][entry][1] if entry is not None else {}
+            weights = [
+                math.exp(self.logp[arc]) * (masses[depth + 1][following[arc]] if arc in following else 1.0)
+                for arc in arcs
+            ]
+            at = next(noise) * sum(weights)
+            chosen = max(range(len(weights)), key=weights.__getitem__)
+            for k, weight in enumerate(weights):
+                at -= weight
+                if at < 0 and weight > 0:
                     chosen = k
                     break
-            path.append(low + chosen)
-            node += int(self.size[low + chosen])
+            arc = arcs[chosen]
+            path.append(arc)
+            entry = following.get(arc)
+            node += int(self.size[arc])
         return tuple(path)
 
 
@@ -269,11 +310,18 @@ def _uniforms(seed: int, round_: int, first: int, count: int) -> np.ndarray:
     return ((mixed(mixed(places) ^ np.uint64(seed)) >> np.uint64(11)) + 0.5) * 2.0**-53
 
 
-def _splits(path: _Path, first: int, seed: int, round_: int, most: int) -> list[tuple[float, int]]:
+#: Below this, one minus a path's probability is summed over the other paths instead.
+_CLOSE = 1e-11
+
+
+def _splits(path: _Path, first: int, seed: int, round_: int, most: int, other_mass) -> list[tuple[float, int]]:
     """(value, word) of the best open sets that leave the path at a word from ``first`` on."""
     own = np.diff(path.before)[first:]
+    left = -np.expm1(np.minimum(own, 0.0))
+    for k in np.flatnonzero(left < _CLOSE).tolist():
+        left[k] = other_mass(first + k)
     with np.errstate(divide="ignore"):
-        mass = path.before[first:-1] + np.log(-np.expm1(np.minimum(own, 0.0)))
+        mass = path.before[first:-1] + np.log(left)
     values = _truncated(mass, path.value, _uniforms(seed, round_, first, len(own)))
     best = np.argsort(-values)[:most]
     return [(float(values[k]), first + int(k)) for k in best if values[k] > -np.inf]
@@ -303,6 +351,21 @@ def sample_texts(
         salt = own_seeds[at] ^ mixed(places[at] + (np.uint64(round_) << np.uint64(48)))
         return lattice.draw(occurrences[at], mixed(salt))
 
+    masses: dict[tuple, float] = {}
+
+    def arcs_at(path: _Path, word: int) -> tuple[int, ...]:
+        return tuple(path.arcs[int(path.ends[word - 1]) if word else 0 : path.ends[word]].tolist())
+
+    def splits(t: int, path: _Path, first: int, round_: int):
+        def other_mass(word: int) -> float:
+            key = int(occurrences[starts[t] + word]), arcs_at(path, word)
+            if key not in masses:
+                masses[key] = lattice.others(key[0], [key[1]])
+            return masses[key]
+
+        for value, word in _splits(path, first, seeds[t], round_, count + 1, other_mass):
+            yield -value, word, round_, _Open(path, word, [arcs_at(path, word)])
+
     paths: list[list[_Path]] = [[] for _ in texts]
     queues: list[list] = [[] for _ in texts]
     arcs, per_word, logp = fresh(np.arange(len(occurrences)), 0)
@@ -318,12 +381,14 @@ def sample_texts(
             value,
         )
         paths[t].append(path)
-        for v, word in _splits(path, 0, seeds[t], 1, count + 1):
-            first = int(path.ends[word - 1]) if word else 0
-            taken = [tuple(path.arcs[first : path.ends[word]].tolist())]
-            heapq.heappush(queues[t], (-v, word, 0, _Open(path, word, taken)))
+        for entry in splits(t, path, 0, 1):
+            heapq.heappush(queues[t], entry)
     for round_ in range(1, count):
         popped = {t: heapq.heappop(q) for t, q in enumerate(queues) if q}
+        others = {
+            t: lattice.draw_other(int(occurrences[starts[t] + o[1]]), o[3].taken, _noise(seeds[t], round_))
+            for t, o in popped.items()
+        }
         later = {t: np.arange(starts[t] + o[3].word + 1, starts[t + 1]) for t, o in popped.items()}
         at = np.concatenate(list(later.values())) if later else np.empty(0, np.int64)
         arcs, per_word, logp = fresh(at, round_)
@@ -331,7 +396,7 @@ def sample_texts(
         for t, (negative, word, _, open_) in popped.items():
             value, count_later = -negative, len(later[t])
             parent = open_.path
-            other = lattice.draw_other(int(occurrences[starts[t] + word]), open_.taken, _noise(seeds[t], round_))
+            other = others[t]
             kept = int(parent.ends[word - 1]) if word else 0
             mine = slice(done, done + count_later)
             tail = arcs[arc_ends[done] : arc_ends[done + count_later]]
@@ -346,16 +411,13 @@ def sample_texts(
             )
             paths[t].append(path)
             taken = [*open_.taken, other]
-            rest = 1.0 - sum(math.exp(lattice.path_logp(x)) for x in taken)
-            if rest > 1e-12:
+            rest = lattice.others(int(occurrences[starts[t] + word]), taken)
+            if rest > 0:
                 mass = parent.before[word] + math.log(rest)
                 again = float(_truncated(mass, value, _uniforms(seeds[t], round_ + 1, 1 << 31, 1)[0]))
-                heapq.heappush(queues[t], (-again, word, round_, _Open(parent, word, taken)))
-            for v, w in _splits(path, word + 1, seeds[t], round_ + 1, count + 1):
-                first = int(path.ends[w - 1])
-                heapq.heappush(
-                    queues[t], (-v, w, round_, _Open(path, w, [tuple(path.arcs[first : path.ends[w]].tolist())]))
-                )
+                heapq.heappush(queues[t], (-again, word, 0, _Open(parent, word, taken)))
+            for entry in splits(t, path, word + 1, round_ + 1):
+                heapq.heappush(queues[t], entry)
     out = []
     for t, mine in enumerate(paths):
         if not mine:
