@@ -58,5 +58,6 @@ class ProjectAnalytics:
         return listings.violation_counts(*self._source, query)
 
     def identity_links(self) -> DataFrame:
-        links = identity.identity_links(self.events) if self.links is None else self.links
+        # Stored links have one part for each micro-batch that saw the pair.
+        links = identity.identity_links(self.events) if self.links is None else identity.merge_links(self.links)
         return identity.list_links(links, self.project_id)

@@ -485,35 +485,16 @@ def _ingested(spark: SparkSession, sf_dir: str) -> ingest.Ingested:
 @register(
     "i1_explode_batches",
     ITEMS + """ SELECT batch_id, project_uuid AS project_id, index, CAST(batch_size AS INTEGER) AS batch_size,
-               event_id FROM placed""",
+               CASE WHEN id % 43 = 1 THEN 'not-a-uuid' ELSE event_id END AS event_id FROM placed""",
 )
 def explode_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = sample.raw_batches(spark, sf_dir)
-    # The id is in the item unless a fault hides it; there it follows from batch and index.
-    items = ingest.explode_batches(batches)
-    shown = items.select(
+    return ingest.explode_batches(batches).select(
         "batch_id",
         "project_id",
         "index",
         "batch_size",
-        F.regexp_extract("item", '"event_id":"([^"]*)"', 1).alias("given"),
-    )
-    hidden = sample._raw(spark, sf_dir).filter("id % 43 = 1").select("event_id", "id", "project_id")
-    hidden = hidden.select(
-        F.concat(
-            F.substring("project_id", 2, 1), F.lit("/b-"), F.expr("cast(id div 25 as string)")
-        ).alias("batch_id"),
-        "event_id",
-    )
-    found = shown.join(
-        hidden, (shown.given == "not-a-uuid") & (shown.batch_id == hidden.batch_id), "left"
-    )
-    return found.select(
-        shown.batch_id,
-        "project_id",
-        "index",
-        "batch_size",
-        F.coalesce("event_id", "given").alias("event_id"),
+        F.regexp_extract("item", '"event_id":"([^"]*)"', 1).alias("event_id"),
     )
 
 
@@ -960,7 +941,7 @@ def _filter_sql(cases: dict[str, str]) -> str:
     return EV + f" SELECT project_id, event, {counts} FROM cur GROUP BY ALL"
 
 
-HOSTILE = "plan') OR 1=1; DROP TABLE events; --"
+HOSTILE = """x"]['plan' \\ $.plan` UNION SELECT 1 /*"""
 FILTER_CASES: dict[str, dict[str, tuple[tuple, str]]] = {
     "q4_is_set": {"has_plan": ((("plan", "is_set"),), "plan IS NOT NULL")},
     "q5_is_not_set": {
@@ -1320,7 +1301,7 @@ _LISTED = """ FROM ev WHERE project_id = 'p0' AND ts >= TIMESTAMP '2024-01-05'
 
 @register(
     "a15_event_names",
-    EV + f" SELECT event, count(*) AS count {_LISTED} GROUP BY event ORDER BY 2 DESC, 1 LIMIT 500",
+    EV + f" SELECT event, count(*) AS count {_LISTED} GROUP BY event",
 )
 def event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.event_names(sample.events(spark, sf_dir), P0, LISTING)
@@ -1330,7 +1311,7 @@ def event_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     "a16_violation_counts",
     EV + f""", found AS (SELECT event, unnest(string_split({VIOLATIONS}, '|')) AS violation {_LISTED})
     SELECT event, violation, count(*) AS count FROM found WHERE violation <> ''
-    GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 200""",
+    GROUP BY ALL""",
 )
 def violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.violation_counts(sample.events(spark, sf_dir), P0, LISTING)

@@ -7,7 +7,6 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.operators.joins import planned_as_broadcast
 
 ANONYMOUS = ("project_id", "anonymous_id")
 
@@ -94,14 +93,11 @@ def resolve(
     """``with_person`` for rows that will be aggregated by ``grain`` and self-merging measures
     (min, max, sum, bit_or).
 
-    Where Spark would broadcast the links the join costs no shuffle and comes first. Otherwise
-    rows are aggregated per raw identity before the join: whatever share of the events one
-    anonymous id has, at most one row per grain value of it is shuffled into the join.
+    Rows are aggregated per raw identity before the join: whatever share of the events one
+    anonymous id has, at most one row per grain value of it takes part in the join.
     """
     identity = ["project_id", "user_id", "anonymous_id", "distinct_id"]
-    if not planned_as_broadcast(first):
-        rows = _aggregate(rows, [*identity, *grain], measures)
-    return with_person(rows, first)
+    return with_person(_aggregate(rows, [*identity, *grain], measures), first)
 
 
 def by_person(

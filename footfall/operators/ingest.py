@@ -20,8 +20,7 @@ from footfall.functions.scalars import (
     iso,
     zoned_timestamp,
 )
-from footfall.operators.joins import planned_as_broadcast
-from footfall.operators.tracking_plan import event_violations, latest_plans
+from footfall.operators.tracking_plan import latest_plans, planned_events, spec_violations
 from footfall.plans import limits
 
 FIELDS = ("event_id", "event", "user_id", "anonymous_id", "timestamp", "properties", "context")
@@ -47,7 +46,7 @@ def explode_batches(
     """One row per item with its 0-based ``index``, and why its batch is refused whole.
 
     ``refusal`` is ``invalid_batch`` (empty, or an item that is no JSON object),
-    ``batch_too_large``, ``quota_exceeded`` (batch ids in ``over_quota``) or NULL. An empty
+    ``batch_too_large``, ``quota_exceeded`` (batches of ``over_quota``, by project and id) or NULL. An empty
     batch keeps one row without an item.
     """
     not_object = F.exists("batch", lambda item: F.json_object_keys(item).isNull())
@@ -57,8 +56,8 @@ def explode_batches(
     )
     marked = batches.withColumn("refusal", refusal)
     if over_quota is not None:
-        flagged = over_quota.select("batch_id", F.lit("quota_exceeded").alias("_quota")).distinct()
-        marked = marked.join(flagged, "batch_id", "left").withColumn(
+        flagged = over_quota.select("project_id", "batch_id", F.lit("quota_exceeded").alias("_quota"))
+        marked = marked.join(flagged.distinct(), ["project_id", "batch_id"], "left").withColumn(
             "refusal", F.coalesce("refusal", "_quota")
         )
     return marked.select(
@@ -217,19 +216,30 @@ def corrected_timestamp(
     return F.timestamp_micros(micros)
 
 
-def check_plans(items: DataFrame, plans: DataFrame, salts: int = 32) -> DataFrame:
+#: Parts a project's items are spread over when they meet its defaults.
+PROJECT_SALTS = 32
+
+
+def check_plans(items: DataFrame, plans: DataFrame) -> DataFrame:
     """Add ``violations`` and ``enforcement`` from the active plan of each project.
 
-    When Spark does not plan the plans as a broadcast, the join key gets a salt, so that the
-    items of a huge project are spread over ``salts`` tasks; the plans are repeated as often.
+    An item meets the rules of its own event, by (project, event), never a whole plan. What
+    holds for all events of a project comes by a second join, on narrow rows and salted, so
+    that the items of a huge project are spread over ``PROJECT_SALTS`` tasks.
     """
     active = latest_plans(plans).select("project_id", "plan")
-    keys = ["project_id"]
-    if not planned_as_broadcast(active):
-        items = items.withColumn("_salt", F.pmod(F.xxhash64("batch_id", "index"), F.lit(salts)).cast("int"))
-        active = active.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keys.append("_salt")
-    joined = items.join(active, keys, "left")
+    defaults = active.select(
+        "project_id",
+        F.col("plan.enforcement").alias("enforcement"),
+        F.col("plan.allow_unplanned_events").alias("_open"),
+        F.explode(F.sequence(F.lit(0), F.lit(PROJECT_SALTS - 1))).alias("_salt"),
+    )
+    salt = F.pmod(F.xxhash64("batch_id", "index"), F.lit(PROJECT_SALTS)).cast("int")
+    joined = (
+        items.join(planned_events(active), ["project_id", "event"], "left")
+        .withColumn("_salt", salt)
+        .join(defaults, ["project_id", "_salt"], "left")
+    )
     properties = F.coalesce(
         F.from_json("properties", T.MapType(T.StringType(), T.VariantType())),
         F.create_map().cast("map<string,variant>"),
@@ -237,10 +247,9 @@ def check_plans(items: DataFrame, plans: DataFrame, salts: int = 32) -> DataFram
     return (
         joined.withColumn("_properties", properties)
         .withColumn(
-            "violations", event_violations(F.col("event"), F.col("_properties"), F.col("plan"))
+            "violations", spec_violations(F.col("_properties"), F.col("spec"), F.col("_open"))
         )
-        .withColumn("enforcement", F.col("plan.enforcement"))
-        .drop("plan", "_properties", "_salt")
+        .drop("spec", "_open", "_properties", "_salt")
     )
 
 

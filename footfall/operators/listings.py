@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from footfall.operators.dedup import latest_rows
 from footfall.operators.scope import project_rows
-from footfall.plans import limits
 from footfall.plans.requests import ListingQuery
 
 
+def _listed(counts: DataFrame, query: ListingQuery, *ties: str) -> DataFrame:
+    """Most frequent first; all of them unless the query asks for fewer."""
+    ordered = counts.orderBy(F.desc("count"), *ties)
+    return ordered if query.limit is None else ordered.limit(query.limit)
+
+
 def event_names(events: DataFrame, project_id: str, query: ListingQuery) -> DataFrame:
     """Event names seen recently, most frequent first; stored rows, copies included."""
     rows = project_rows(events, project_id, query.start, query.end)
     counts = rows.groupBy("event").agg(F.count(F.lit(1)).alias("count"))
-    return counts.orderBy(F.desc("count"), "event").limit(limits.EVENT_NAMES_LIMIT)
+    return _listed(counts, query, "event")
 
 
 def violation_counts(events: DataFrame, project_id: str, query: ListingQuery) -> DataFrame:
@@ -23,7 +28,7 @@ def violation_counts(events: DataFrame, project_id: str, query: ListingQuery) ->
     rows = project_rows(events, project_id, query.start, query.end)
     found = rows.select("event", F.explode("violations").alias("violation"))
     counts = found.groupBy("event", "violation").agg(F.count(F.lit(1)).alias("count"))
-    return counts.orderBy(F.desc("count"), "event", "violation").limit(limits.VIOLATIONS_LIMIT)
+    return _listed(counts, query, "event", "violation")
 
 
 def event_summary(events: DataFrame) -> DataFrame:

@@ -135,9 +135,20 @@ def _label(value: Column) -> Column:
     return F.substring(_comparable(value), 2, 2_147_483_647)
 
 
+def planned_events(plans: DataFrame) -> DataFrame:
+    """``project_id, event, spec``: the rules of each planned event."""
+    return plans.select("project_id", F.explode("plan.events").alias("event", "spec"))
+
+
 def event_violations(event: Column, properties: Column, plan: Column) -> Column:
     """Violations of one event in plan order; ``properties`` is MAP<STRING, VARIANT>."""
     spec = F.try_element_at(plan.getField("events"), event)
+    return spec_violations(properties, spec, plan.getField("allow_unplanned_events"))
+
+
+def spec_violations(properties: Column, spec: Column, allow_unplanned: Column) -> Column:
+    """Violations against the rules of an event; ``spec`` is NULL for an event without rules,
+    ``allow_unplanned`` for a project without a plan."""
     rules = spec.getField("properties")
 
     def problem(entry: Column) -> Column:
@@ -165,11 +176,9 @@ def event_violations(event: Column, properties: Column, plan: Column) -> Column:
         lambda k: F.concat(F.lit("unexpected_property:"), k),
     )
     none = F.array().cast("array<string>")
-    unplanned = F.when(plan.getField("allow_unplanned_events"), none).otherwise(
-        F.array(F.lit("unplanned_event"))
-    )
+    unplanned = F.when(allow_unplanned, none).otherwise(F.array(F.lit("unplanned_event")))
     return (
-        F.when(plan.isNull(), none)
+        F.when(allow_unplanned.isNull(), none)
         .when(spec.isNull(), unplanned)
         .when(spec.getField("additional_properties"), listed)
         .otherwise(F.concat(listed, surplus))

@@ -11,8 +11,6 @@ MAX_PERIODS = 52
 MAX_INACTIVITY_MINUTES = 240
 MAX_LISTING_DAYS = 90
 BREAKDOWN_LIMIT = 10
-EVENT_NAMES_LIMIT = 500
-VIOLATIONS_LIMIT = 200
 
 # Names
 MAX_EVENT_NAME = 128

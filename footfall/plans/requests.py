@@ -158,15 +158,21 @@ class SessionsQuery(TimeRange):
 
 @dataclass(frozen=True, kw_only=True)
 class ListingQuery:
-    """The last ``days`` days before ``as_of`` (and 5 minutes past it, for clocks ahead)."""
+    """The last ``days`` days before ``as_of`` (and 5 minutes past it, for clocks ahead).
+
+    ``limit`` asks for the most frequent entries alone; without it all are listed.
+    """
 
     as_of: datetime
     days: int = 30
+    limit: int | None = None
 
     def __post_init__(self) -> None:
         if self.as_of.tzinfo is None:
             raise ValueError("'as_of' needs a time zone")
         _check_between("days", self.days, 1, limits.MAX_LISTING_DAYS)
+        if self.limit is not None and self.limit < 1:
+            raise ValueError("'limit' must be at least 1")
 
     @property
     def start(self) -> datetime:

@@ -92,32 +92,70 @@ def months(spark: SparkSession, path: str) -> list[str]:
     return sorted(child_dirs(spark, path, "month="))
 
 
-def compact_month(spark: SparkSession, path: str, month: str) -> str | None:
+def compact_month(
+    spark: SparkSession, path: str, month: str, committed: int | None = None
+) -> str | None:
     """Make the read-time dedup of one month permanent, and put the month in sort-key order.
 
-    The new directory is complete before the old ones go: a crash in between leaves extra
-    copies, which the read-time dedup hides until the next compaction. Writes that arrive
-    meanwhile are in directories of their own and stay.
+    Next to a running stream ``committed`` is the last micro-batch that is done
+    (``streaming.job.committed_batch``); later ones are left out. Only files that were read are
+    deleted, after the new directory is complete: a crash in between leaves extra copies, which
+    the read-time dedup hides until the next compaction, and files that arrive meanwhile stay.
     """
     root = f"{path}/month={month}"
-    sources = child_dirs(spark, root, "batch_id=")
+    sources = {
+        batch: directory
+        for batch, directory in child_dirs(spark, root, "batch_id=").items()
+        if committed is None or not batch.isdigit() or int(batch) <= committed
+    }
     if not sources:
         return None
     rows = spark.read.schema(EVENTS).parquet(*sources.values())
+    files = rows.inputFiles()
     target = f"{COMPACTED}{uuid.uuid4().hex}"
     _sorted_by_key(latest_rows(rows).select(*COLUMNS)).write.parquet(f"{root}/batch_id={target}")
+    for file in files:
+        delete_dir(spark, file)
     for source in sources.values():
-        delete_dir(spark, source)
+        _delete_if_empty(spark, source)
     return target
 
 
+def _delete_if_empty(spark: SparkSession, path: str) -> None:
+    """Remove a directory that holds nothing but markers (names that start with ``_`` or ``.``)."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if all(s.getPath().getName()[0] in "_." for s in fs.listStatus(hadoop_path)):
+        fs.delete(hadoop_path, True)
+
+
+def open_events(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """The table and its settled months, both from one listing: a write that arrives in between
+    is either in neither or keeps its month from counting as settled."""
+    found = {
+        month: child_dirs(spark, f"{path}/month={month}", "batch_id=") for month in months(spark, path)
+    }
+    directories = [d for batches in found.values() for d in batches.values()]
+    schema = T.StructType(EVENTS.fields + EVENT_PARTITIONS.fields)
+    if not directories:
+        return spark.createDataFrame([], schema), []
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*directories)
+    empty = F.array().cast("array<string>")
+    settled = [m for m, batches in found.items() if _settled(batches)]
+    return rows.withColumn("violations", F.coalesce("violations", empty)), settled
+
+
+def _settled(batches: dict[str, str]) -> bool:
+    return len(batches) == 1 and next(iter(batches)).startswith(COMPACTED)
+
+
 def settled_months(spark: SparkSession, path: str) -> list[str]:
     """Months that hold the result of one compaction and nothing written since: one copy per
     event. Known from directory names alone."""
     found = []
     for month in months(spark, path):
         batches = child_dirs(spark, f"{path}/month={month}", "batch_id=")
-        if len(batches) == 1 and next(iter(batches)).startswith(COMPACTED):
+        if _settled(batches):
             found.append(month)
     return found
 

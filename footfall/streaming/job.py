@@ -6,13 +6,14 @@ directories named after its batch, so a crash at any point replays the batch ont
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from footfall.operators.dedup import drop_recently_stored, first_in_batch, remembered_ids
 from footfall.operators.identity import identity_links
@@ -28,6 +29,11 @@ IDS = T.StructType([
     T.StructField("hour", T.StringType()),
     T.StructField("batch_id", T.LongType()),
 ])
+PROGRESS = T.StructType([
+    T.StructField("batch_id", T.LongType()),
+    T.StructField("consumed", T.LongType()),
+    T.StructField("dropped", T.LongType()),
+])
 REPORT = T.StructType([
     T.StructField("batch_id", T.LongType()),
     T.StructField("consumed", T.LongType()),
@@ -63,6 +69,10 @@ class Store:
     def report(self) -> str:
         return f"{self.root}/batch_report"
 
+    @property
+    def progress(self) -> str:
+        return f"{self.root}/batch_progress"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
@@ -109,6 +119,7 @@ def store_batch(parsed: DataFrame, batch_id: int, store: Store, exact_window: st
     spark = parsed.sparkSession
     now = datetime.now(UTC)
     parsed = parsed.persist()
+    rows = None
     try:
         totals = parsed.agg(
             F.count(F.lit(1)).alias("consumed"), F.count("reason").alias("dead_lettered")
@@ -121,16 +132,16 @@ def store_batch(parsed: DataFrame, batch_id: int, store: Store, exact_window: st
             oldest = F.date_format(F.lit(now) - F.expr(f"interval {exact_window}"), "yyyyMMddHH")
             ids = ids.filter(F.col("hour") >= oldest)
             rows = drop_recently_stored(first_in_batch(rows), ids, F.lit(now), exact_window)
-        write_events(rows.withColumn("ingested_at", F.lit(now)), store.events, batch_id)
-
-        # What was stored is read back, not computed again; its count comes from file footers.
-        stored = store.read(spark, f"{store.events}/month=*/batch_id={batch_id}", EVENTS)
-        inserted = stored.count()
+        # Links, ids and counts come from the rows that are written: what becomes of the stored
+        # files meanwhile (compaction, retention) can't take anything from them.
+        rows = rows.withColumn("ingested_at", F.lit(now)).persist()
+        write_events(rows, store.events, batch_id)
+        inserted = rows.count()
         if inserted:
-            links = identity_links(stored).withColumn("batch_id", F.lit(batch_id))
+            links = identity_links(rows).withColumn("batch_id", F.lit(batch_id))
             _overwrite(links, store.links, "batch_id")
             if exact_window is not None:
-                ids = remembered_ids(stored, F.lit(now)).withColumns({
+                ids = remembered_ids(rows, F.lit(now)).withColumns({
                     "hour": F.date_format("stored_at", "yyyyMMddHH"),
                     "batch_id": F.lit(batch_id),
                 })
@@ -148,22 +159,54 @@ def store_batch(parsed: DataFrame, batch_id: int, store: Store, exact_window: st
         _overwrite(report, store.report, "batch_id")
     finally:
         parsed.unpersist()
+        if rows is not None:
+            rows.unpersist()
+
+
+class ProgressTable(StreamingQueryListener):
+    """Keeps what the state-store dedup read and dropped: one row for each micro-batch of a store.
+
+    A micro-batch of copies alone reaches no sink, but it makes progress.
+    """
+
+    def __init__(self, spark: SparkSession, store: Store, name: str):
+        self.spark, self.store, self.name, self.run = spark, store, name, None
+
+    def onQueryStarted(self, event) -> None:
+        if event.name == self.name:
+            self.run = event.runId
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if progress.name != self.name or not progress.numInputRows:
+            return
+        dropped = sum(o.customMetrics.get("numDroppedDuplicateRows", 0) for o in progress.stateOperators)
+        row = [(progress.batchId, progress.numInputRows, dropped)]
+        _overwrite(self.spark.createDataFrame(row, PROGRESS), self.store.progress, "batch_id")
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.runId == self.run:
+            self.spark.streams.removeListener(self)
 
 
 def start_stream(
     raw: DataFrame,
     store: Store,
-    dedup: str = "state",
+    dedup: str = "exact",
     window: str = limits.DEDUP_WINDOW,
     available_now: bool = False,
     interval: str = "10 seconds",
 ) -> StreamingQuery:
     """Start (or, with the same store, resume) the ingest stream.
 
-    ``dedup="state"`` remembers ids in the state store: cost grows with the new rows only. Rows
-    it drops reach the batch report through the progress of the query. ``dedup="exact"`` keeps a
-    table of stored ids and joins each micro-batch with the part inside the window: exact to the
-    second and first in log order, for lower volumes.
+    ``dedup="exact"`` keeps a table of stored ids by hour and joins each micro-batch with the
+    hours inside the window: exact to the second, first in log order. ``dedup="state"`` remembers
+    ids in the state store, where cost grows with the new rows only; it keeps any copy of a
+    micro-batch and remembers an id for up to twice the window, which drops events that repeat
+    an id between the two. The rows it drops are kept in the progress table of the store.
     """
     if dedup not in ("state", "exact"):
         raise ValueError(f"unknown dedup '{dedup}'")
@@ -175,7 +218,18 @@ def start_stream(
         lambda batch, batch_id: store_batch(batch, batch_id, store, exact)
     ).option("checkpointLocation", store.checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
-    return writer.trigger(**trigger).start()
+    if dedup == "exact":
+        return writer.trigger(**trigger).start()
+    name = f"ingest-{uuid.uuid4().hex}"
+    raw.sparkSession.streams.addListener(ProgressTable(raw.sparkSession, store, name))
+    return writer.queryName(name).trigger(**trigger).start()
+
+
+def committed_batch(spark: SparkSession, store: Store) -> int:
+    """The last micro-batch whose every write is done; -1 before the first. Its number bounds
+    what compaction may touch."""
+    last = store.read(spark, store.report, REPORT).agg(F.max("batch_id")).first()[0]
+    return -1 if last is None else last
 
 
 def forget_ids(spark: SparkSession, store: Store, before: datetime) -> list[str]:
@@ -196,27 +250,21 @@ def stored_letters(spark: SparkSession, store: Store) -> DataFrame:
     return store.read(spark, store.dead_letters, DEAD_LETTERS)
 
 
-def batch_report(
-    spark: SparkSession, store: Store, query: StreamingQuery | None = None
-) -> DataFrame:
-    """``batch_id, consumed, inserted, duplicates, dead_lettered`` per micro-batch.
+def batch_report(spark: SparkSession, store: Store) -> DataFrame:
+    """``batch_id, consumed, inserted, duplicates, dead_lettered`` per micro-batch that read rows.
 
-    State-store dedup drops rows before they are counted here; with its ``query`` the rows read
-    and dropped are taken from the progress of the micro-batches it still remembers.
+    What the state-store dedup dropped before the sink is added from the progress table, for
+    micro-batches of copies alone as well.
     """
     report = store.read(spark, store.report, REPORT)
-    if query is None:
-        return report
-    progress = report_from_progress(spark, query).select(
-        "batch_id", F.col("consumed").alias("_read"), F.col("duplicates").alias("_dropped")
-    )
-    joined = report.join(progress, "batch_id", "left")
-    return joined.select(
+    progress = store.read(spark, store.progress, PROGRESS).withColumnRenamed("consumed", "_read")
+    zero = F.lit(0).cast("long")
+    return report.join(progress, "batch_id", "full").select(
         "batch_id",
         F.coalesce("_read", "consumed").alias("consumed"),
-        "inserted",
-        (F.col("duplicates") + F.coalesce("_dropped", F.lit(0))).alias("duplicates"),
-        "dead_lettered",
+        F.coalesce("inserted", zero).alias("inserted"),
+        (F.coalesce("duplicates", zero) + F.coalesce("dropped", zero)).alias("duplicates"),
+        F.coalesce("dead_lettered", zero).alias("dead_lettered"),
     )
 
 

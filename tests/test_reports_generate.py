@@ -7,7 +7,7 @@ from conftest import PROJECT, at, row
 from pyspark.sql import functions as F
 
 from footfall.operators.funnel import funnel
-from footfall.operators.listings import event_summary, violation_counts
+from footfall.operators.listings import event_names, event_summary, violation_counts
 from footfall.operators.reports import (
     dead_letter_report,
     freshness_histogram,
@@ -77,3 +77,16 @@ def test_listings(table):
     rows = violation_counts(events, PROJECT, ListingQuery(as_of=at(2), days=7)).collect()
     assert [tuple(r) for r in rows] == [("buy", "a", 3), ("buy", "b", 2)]
     assert [tuple(r) for r in event_summary(events).collect()] == [("buy", 2, 2)]
+
+
+def test_listings_are_whole_unless_asked_for_less(spark, table):
+    rows = [row(f"event {k:03d}", "u", at(0), violations=[f"rule {k % 300}"]) for k in range(600)]
+    events = table(rows)
+    everything = ListingQuery(as_of=at(2), days=7)
+    assert event_names(events, PROJECT, everything).count() == 600
+    assert violation_counts(events, PROJECT, everything).count() == 600
+    few = ListingQuery(as_of=at(2), days=7, limit=3)
+    assert [r["event"] for r in event_names(events, PROJECT, few).collect()] == ["event 000", "event 001", "event 002"]
+    assert violation_counts(events, PROJECT, few).count() == 3
+    with pytest.raises(ValueError, match="limit"):
+        ListingQuery(as_of=at(2), limit=0)

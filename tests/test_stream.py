@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 import shutil
+import time
 import uuid
 from datetime import UTC, datetime, timedelta
 
@@ -16,10 +17,12 @@ from footfall.operators.reports import backlog, offsets_from_progress, total_bac
 from footfall.operators.scope import current_rows
 from footfall.schemas import RAW_MESSAGES
 from footfall.sources.events import (
+    child_dirs,
     compact_month,
     drop_months_before,
     load_events,
     months,
+    open_events,
     scan_events,
     settled_months,
     write_events,
@@ -129,10 +132,16 @@ class Runner:
     def rows(self):
         return scan_events(self.spark, self.store.events)
 
-    def report(self):
+    def report(self, consumed=None):
+        """The report; with ``consumed`` it waits until progress of so many rows has arrived."""
         names = ("consumed", "inserted", "duplicates", "dead_lettered")
-        rows = job.batch_report(self.spark, self.store).orderBy("batch_id").collect()
-        return [tuple(r[n] for n in names) for r in rows]
+        for _ in range(60):
+            rows = job.batch_report(self.spark, self.store).orderBy("batch_id").collect()
+            found = [tuple(r[n] for n in names) for r in rows]
+            if consumed is None or sum(f[0] for f in found) == consumed:
+                return found
+            time.sleep(0.5)
+        return found
 
 
 @pytest.fixture(params=["exact", "state"])
@@ -149,21 +158,63 @@ def test_retries_repeats_and_poison(runner):
     runner.run()
     assert runner.rows().count() == 2
     runner.send(retry, message(event="good"))
-    query = runner.run()
+    runner.run()
     assert sorted(r["event"] for r in runner.rows().collect()) == ["good", "page_viewed", "purchase"]
     letters = job.stored_letters(runner.spark, runner.store).collect()
     assert sorted(r["reason"] for r in letters) == ["invalid_json", "unsupported_schema_version:7"]
     assert {bytes(r["value"]) for r in letters} == {poison[0], json.dumps(poison[1]).encode()}
     links = merge_links(job.stored_links(runner.spark, runner.store)).collect()
     assert [(r["anonymous_id"], r["user_id"]) for r in links] == [("anon-1", "u-1")]
+    assert runner.report(consumed=8) == [(6, 2, 2, 2), (2, 1, 1, 0)]
     if runner.dedup == "exact":
-        assert runner.report() == [(6, 2, 2, 2), (2, 1, 1, 0)]
         kept = runner.rows().filter("event = 'purchase'").first()
         assert kept["timestamp"].second == 0  # the first copy stays
-    else:
-        names = ("consumed", "inserted", "duplicates", "dead_lettered")
-        last = job.batch_report(runner.spark, runner.store, query).orderBy(F.desc("batch_id"))
-        assert tuple(last.first()[n] for n in names) == (2, 1, 1, 0)
+
+
+def test_a_batch_of_copies_alone_is_reported(runner):
+    sent = [message(event=f"e{k}") for k in range(5)]
+    runner.send(*sent)
+    runner.run()
+    runner.send(*sent, *sent)
+    runner.run()
+    assert runner.rows().count() == 5
+    assert runner.report(consumed=15) == [(5, 5, 0, 0), (10, 0, 10, 0)]
+
+
+def test_compaction_during_a_micro_batch_takes_no_links_or_ids(runner, monkeypatch):
+    """The month is compacted right after the rows were written and before links are found."""
+    write = job.write_events
+
+    def then_compact(rows, path, batch_id):
+        write(rows, path, batch_id)
+        for month in months(runner.spark, path):
+            compact_month(runner.spark, path, month)
+
+    monkeypatch.setattr(job, "write_events", then_compact)
+    sent = [message(event="signup", anonymous_id=f"anon-{k}", user_id=f"u-{k}") for k in range(4)]
+    runner.send(*sent)
+    runner.run()
+    assert runner.report(consumed=4) == [(4, 4, 0, 0)]
+    assert merge_links(job.stored_links(runner.spark, runner.store)).count() == 4
+    monkeypatch.undo()
+    runner.send(*sent)
+    runner.run()
+    assert runner.rows().count() == 4 and runner.report(consumed=8)[1] == (4, 0, 4, 0)
+
+
+def test_compaction_leaves_micro_batches_that_are_not_done(spark, tmp_path):
+    runner = Runner(spark, str(tmp_path), "exact")
+    runner.send(message(), message())
+    runner.run()
+    assert job.committed_batch(spark, runner.store) == 0
+    [month] = months(spark, runner.store.events)
+    before = runner.rows().drop("batch_id").collect()
+    job.write_events(runner.rows().limit(1), runner.store.events, 1)  # written, not yet committed
+    target = compact_month(spark, runner.store.events, month, job.committed_batch(spark, runner.store))
+    left = child_dirs(spark, f"{runner.store.events}/month={month}", "batch_id=")
+    assert set(left) == {target, "1"} and settled_months(spark, runner.store.events) == []
+    table, settled = open_events(spark, runner.store.events)
+    assert table.count() == 3 and settled == [] and latest_rows(table).count() == len(before)
 
 
 def test_crash_before_commit_is_replayed_onto_itself(runner, monkeypatch):
