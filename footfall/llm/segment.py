@@ -18,6 +18,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from footfall.llm.texts import mixed
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Bytes of text a task segments at once; a longer text is alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 19
 _END = -1
 
 
@@ -147,18 +148,19 @@ class Lattice:
         bare = np.flatnonzero(~single)
         count = np.bincount(np.concatenate([at for at, _ in found]), minlength=total) + ~single
         self.low = np.append(0, np.cumsum(count))
-        self.piece = np.empty(self.low[-1], np.int64)
-        self.size = np.empty(self.low[-1], np.int64)
+        self.piece = np.empty(self.low[-1], np.int32)
+        self.size = np.empty(self.low[-1], np.int32)
         filled = self.low[:-1].copy()
         for length in range(len(found), 0, -1):
             at, piece = found[length - 1]
             self.piece[filled[at]], self.size[filled[at]] = piece, length
             filled[at] += 1
-        self.piece[filled[bare]], self.size[filled[bare]] = -chars[bare] - 1, 1  # spelt in bytes
-        spelt = self.piece < 0
+        # The rest is spelt in bytes: one piece, or minus one less than the character for several.
+        code = chars[bare]
+        self.piece[filled[bare]] = np.where(code < 128, vocabulary.byte_ids[code & 127], -code - 1)
+        self.size[filled[bare]] = 1
         weight = vocabulary.weight[np.maximum(self.piece, 0)]
-        code = -self.piece[spelt] - 1
-        weight[spelt] = vocabulary.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
+        weight[filled[bare]] = vocabulary.byte_weight * (1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))
         node = np.repeat(np.arange(total), count)
         target = node + self.size
         ends = left[node] == self.size
@@ -305,26 +307,23 @@ class _Open:
     taken: list[tuple[int, ...]]
 
 
-def _uniforms(seed: int, round_: int, first: int, count: int) -> np.ndarray:
-    places = np.arange(first, first + count, dtype=np.uint64) + (np.uint64(round_) << np.uint64(40))
-    return ((mixed(mixed(places) ^ np.uint64(seed)) >> np.uint64(11)) + 0.5) * 2.0**-53
+def _uniforms(seeds, places, round_: int):
+    """Uniform noise of rows' places in a round, strictly between 0 and 1."""
+    places = places + (np.uint64(round_) << np.uint64(40))
+    return ((mixed(mixed(places) ^ seeds) >> np.uint64(11)) + 0.5) * 2.0**-53
+
+
+def _uniform(seed: int, round_: int, place: int) -> float:
+    return float(_uniforms(np.array([seed], np.uint64), np.array([place], np.uint64), round_)[0])
 
 
 #: Below this, one minus a path's probability is summed over the other paths instead.
 _CLOSE = 1e-11
 
 
-def _splits(path: _Path, first: int, seed: int, round_: int, most: int, other_mass) -> list[tuple[float, int]]:
-    """(value, word) of the best open sets that leave the path at a word from ``first`` on."""
-    own = np.diff(path.before)[first:]
-    left = -np.expm1(np.minimum(own, 0.0))
-    for k in np.flatnonzero(left < _CLOSE).tolist():
-        left[k] = other_mass(first + k)
-    with np.errstate(divide="ignore"):
-        mass = path.before[first:-1] + np.log(left)
-    values = _truncated(mass, path.value, _uniforms(seed, round_, first, len(own)))
-    best = np.argsort(-values)[:most]
-    return [(float(values[k]), first + int(k)) for k in best if values[k] > -np.inf]
+def _largest(values: np.ndarray, count: int) -> list[int]:
+    """Places of the largest values, in no order."""
+    return range(len(values)) if len(values) <= count else np.argpartition(values, -count)[-count:].tolist()
 
 
 def sample_texts(
@@ -338,8 +337,8 @@ def sample_texts(
     numbers: defaultdict[str, int] = defaultdict()
     numbers.default_factory = numbers.__len__
     split = [t.split(" ") if t else [] for t in texts]
-    occurrences = np.fromiter((numbers[w] for words in split for w in words), np.int64)
-    sizes = [len(words) for words in split]
+    sizes = list(map(len, split))
+    occurrences = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
     if not numbers:
         return [[(np.empty(0, np.int32), 0.0, 1.0)] for _ in texts]
     lattice = Lattice(vocabulary, list(numbers))
@@ -356,33 +355,46 @@ def sample_texts(
     def arcs_at(path: _Path, word: int) -> tuple[int, ...]:
         return tuple(path.arcs[int(path.ends[word - 1]) if word else 0 : path.ends[word]].tolist())
 
-    def splits(t: int, path: _Path, first: int, round_: int):
-        def other_mass(word: int) -> float:
-            key = int(occurrences[starts[t] + word]), arcs_at(path, word)
+    def other_masses(at: np.ndarray, logp: np.ndarray, path_arcs) -> np.ndarray:
+        """Probability of the words' paths other than the drawn ones."""
+        left = -np.expm1(np.minimum(logp, 0.0))
+        for k in np.flatnonzero(left < _CLOSE).tolist():
+            key = int(occurrences[at[k]]), path_arcs(k)
             if key not in masses:
                 masses[key] = lattice.others(key[0], [key[1]])
-            return masses[key]
+            left[k] = masses[key]
+        with np.errstate(divide="ignore"):
+            return np.log(left)
 
-        for value, word in _splits(path, first, seeds[t], round_, count + 1, other_mass):
-            yield -value, word, round_, _Open(path, word, [arcs_at(path, word)])
+    def add_open(t: int, path: _Path, first: int, values: np.ndarray, round_: int) -> None:
+        """The best open sets that leave the path at a word from ``first`` on."""
+        for k in _largest(values, count + 1):
+            if values[k] > -np.inf:
+                word = first + int(k)
+                heapq.heappush(queues[t], (-float(values[k]), word, round_, _Open(path, word, [arcs_at(path, word)])))
 
     paths: list[list[_Path]] = [[] for _ in texts]
     queues: list[list] = [[] for _ in texts]
-    arcs, per_word, logp = fresh(np.arange(len(occurrences)), 0)
+    every = np.arange(len(occurrences))
+    arcs, per_word, logp = fresh(every, 0)
     arc_ends = np.append(0, np.cumsum(per_word))
-    for t, (low, high) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+    row_seeds = np.array(seeds, np.uint64)
+    values = -np.log(-np.log(_uniforms(row_seeds, np.full(len(seeds), 1 << 30, np.uint64), 0)))
+    upto = np.append(0.0, np.cumsum(logp))
+    open_mass = other_masses(every, logp, lambda k: tuple(arcs[arc_ends[k] : arc_ends[k + 1]].tolist()))
+    open_mass += upto[:-1] - np.repeat(upto[starts[:-1]], sizes)
+    open_values = _truncated(open_mass, np.repeat(values, sizes), _uniforms(own_seeds, places, 1))
+    for t, (low, high) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
         if low == high:
             continue
-        value = -math.log(-math.log(float(_uniforms(seeds[t], 0, 1 << 30, 1)[0])))
         path = _Path(
             arcs[arc_ends[low] : arc_ends[high]],
             arc_ends[low + 1 : high + 1] - arc_ends[low],
-            np.append(0.0, np.cumsum(logp[low:high])),
-            value,
+            upto[low : high + 1] - upto[low],
+            float(values[t]),
         )
         paths[t].append(path)
-        for entry in splits(t, path, 0, 1):
-            heapq.heappush(queues[t], entry)
+        add_open(t, path, 0, open_values[low:high], 0)
     for round_ in range(1, count):
         popped = {t: heapq.heappop(q) for t, q in enumerate(queues) if q}
         others = {
@@ -393,20 +405,21 @@ def sample_texts(
         at = np.concatenate(list(later.values())) if later else np.empty(0, np.int64)
         arcs, per_word, logp = fresh(at, round_)
         arc_ends, done = np.append(0, np.cumsum(per_word)), 0
+        upto = np.append(0.0, np.cumsum(logp))
+        left = other_masses(at, logp, lambda k: tuple(arcs[arc_ends[k] : arc_ends[k + 1]].tolist()))
+        noise = _uniforms(own_seeds[at], places[at], round_ + 1)
         for t, (negative, word, _, open_) in popped.items():
-            value, count_later = -negative, len(later[t])
-            parent = open_.path
-            other = others[t]
+            value, size = -negative, len(later[t])
+            parent, other = open_.path, others[t]
             kept = int(parent.ends[word - 1]) if word else 0
-            mine = slice(done, done + count_later)
-            tail = arcs[arc_ends[done] : arc_ends[done + count_later]]
-            steps = np.concatenate([[len(other)], per_word[mine]])
-            gains = np.concatenate([[lattice.path_logp(other)], logp[mine]])
-            done += count_later
+            tail = arcs[arc_ends[done] : arc_ends[done + size]]
+            here = parent.before[word] + lattice.path_logp(other)
             path = _Path(
                 np.concatenate([parent.arcs[:kept], np.array(other, np.int64), tail]),
-                np.concatenate([parent.ends[:word], kept + np.cumsum(steps)]),
-                np.concatenate([parent.before[: word + 1], parent.before[word] + np.cumsum(gains)]),
+                np.concatenate(
+                    [parent.ends[:word], [kept + len(other)], kept + len(other) + arc_ends[done + 1 : done + size + 1] - arc_ends[done]]
+                ),
+                np.concatenate([parent.before[: word + 1], here + upto[done : done + size + 1] - upto[done]]),
                 value,
             )
             paths[t].append(path)
@@ -414,10 +427,11 @@ def sample_texts(
             rest = lattice.others(int(occurrences[starts[t] + word]), taken)
             if rest > 0:
                 mass = parent.before[word] + math.log(rest)
-                again = float(_truncated(mass, value, _uniforms(seeds[t], round_ + 1, 1 << 31, 1)[0]))
+                again = float(_truncated(mass, value, _uniform(seeds[t], round_ + 1, 1 << 31)))
                 heapq.heappush(queues[t], (-again, word, 0, _Open(parent, word, taken)))
-            for entry in splits(t, path, word + 1, round_ + 1):
-                heapq.heappush(queues[t], entry)
+            mass = left[done : done + size] + path.before[word + 1 : -1]
+            add_open(t, path, word + 1, _truncated(mass, value, noise[done : done + size]), round_)
+            done += size
     out = []
     for t, mine in enumerate(paths):
         if not mine:
@@ -489,9 +503,10 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, text, samples: ``samples`` has up to ``count`` distinct segmentations of the whole text, in the
-    order of their perturbed values. Missing texts are empty, and give one sample without ids. Equal rows get
-    equal samples; other columns are left aside. The model file is read on the driver and sent along."""
+    """doc_id, samples, round_trip: ``samples`` has up to ``count`` distinct segmentations of the whole text, in
+    the order of their perturbed values; ``round_trip`` says whether all of them decode to the text. Missing texts
+    are empty, and give one sample without ids. Equal rows get equal samples; other columns are left aside. The
+    model file is read on the driver and sent along."""
     with open(model, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -501,9 +516,14 @@ def encode(
             for part in _slices(batch):
                 texts = part.column("text").to_pylist()
                 seeds = [row_seed(key, sampling.seed) for key in part.column("key").to_pylist()]
-                samples = _column(sample_texts(vocabulary, texts, seeds, sampling.count))
+                samples = sample_texts(vocabulary, texts, seeds, sampling.count)
+                same = [
+                    all(vocabulary.decode(ids) == own for ids, _, _ in row)
+                    for own, row in zip((t.encode() for t in texts), samples, strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text"), samples], names=["doc_id", "text", "samples"]
+                    [part.column("doc_id"), _column(samples), pa.array(same, pa.bool_())],
+                    names=["doc_id", "samples", "round_trip"],
                 )
 
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -511,7 +531,7 @@ def encode(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         F.col(id_col).cast("string").alias("key"),
-    ).mapInArrow(run, f"doc_id {id_type}, text string, samples {SAMPLES}")
+    ).mapInArrow(run, f"doc_id {id_type}, samples {SAMPLES}, round_trip boolean")
 
 
 def decode(ids: Column, model: str = MODEL) -> Column:
