@@ -89,6 +89,14 @@ class Vocabulary:
         keys = np.array([(s << 21) | c for s, c in children], np.int64)
         order = np.argsort(keys)
         self.keys, self.targets = keys[order], np.array(list(children.values()), np.int64)[order]
+        # Moves on ASCII characters as a table, for the states that have any move.
+        states, chars = self.keys >> 21, self.keys & 0x1FFFFF
+        plain = chars < 128
+        inner = np.unique(states[plain])
+        self.row = np.zeros(len(ends), np.int64)
+        self.row[inner] = np.arange(1, len(inner) + 1)
+        self.moves = np.zeros((len(inner) + 1, 128), np.int32)
+        self.moves[self.row[states[plain]], chars[plain]] = self.targets[plain]
         self.first = np.zeros(0x110000, np.int32)  # state after one character from the root; 0 for none
         for (state, char), target in children.items():
             if state == 0:
@@ -99,9 +107,12 @@ class Vocabulary:
 
     def step(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """The trie's next states; 0 where there is none."""
-        key = (states << 21) | chars
+        out = self.moves[self.row[states], chars & 127].astype(np.int64)
+        other = np.flatnonzero(chars > 127)
+        key = (states[other] << 21) | chars[other]
         at = np.searchsorted(self.keys, key).clip(max=len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.targets[at], 0)
+        out[other] = np.where(self.keys[at] == key, self.targets[at], 0)
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's bytes; the word mark before the first word is dropped."""
@@ -115,10 +126,11 @@ class Vocabulary:
 class Lattice:
     """Nodes, arcs and exact arc probabilities of a set of distinct words, each with the mark in front.
 
-    ``arc`` numbers run per node, longest first; ``low[node]`` to ``low[node + 1]`` are a node's arcs.
+    ``arc`` numbers run per node, longest first; ``low[node]`` to ``low[node + 1]`` are a node's arcs. The words
+    of ``base`` come first.
     """
 
-    def __init__(self, vocabulary: Vocabulary, words: list[str]):
+    def __init__(self, vocabulary: Vocabulary, words: list[str], base: Lattice | None = None):
         lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
         chars = np.frombuffer((MARK + MARK.join(words)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         self.start = np.append(0, np.cumsum(lengths))  # a word's first node; one node more than arcs need
@@ -182,6 +194,11 @@ class Lattice:
         before = np.cumsum(probability)
         self.upto = before - np.repeat((before - probability)[self.low[:-1]], count)
         self.upto[self.low[1:] - 1] = 2.0  # the last arc takes what rounding leaves
+        if base is not None:
+            self.start = np.concatenate([base.start[:-1], self.start + base.start[-1]])
+            self.low = np.concatenate([base.low[:-1], self.low + base.low[-1]])
+            for name in ("piece", "size", "logp", "upto"):
+                setattr(self, name, np.concatenate([getattr(base, name), getattr(self, name)]))
 
     def draw(self, words: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One path for each word: (arcs of all words in a row, arcs per word, log-probabilities)."""
@@ -326,22 +343,39 @@ def _largest(values: np.ndarray, count: int) -> list[int]:
     return range(len(values)) if len(values) <= count else np.argpartition(values, -count)[-count:].tolist()
 
 
+#: Arcs of the words a task remembers.
+KEPT_ARCS = 2_000_000
+
+
+@dataclass
+class Kept:
+    """Numbers and lattice of words seen before."""
+
+    numbers: dict[str, int]
+    lattice: Lattice | None = None
+
+
 def sample_texts(
-    vocabulary: Vocabulary, texts: list[str], seeds: list[int], count: int
+    vocabulary: Vocabulary, texts: list[str], seeds: list[int], count: int, kept: Kept | None = None
 ) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text, up to ``count`` distinct segmentations: (ids, log-probability, inclusion score).
 
     The inclusion score is the probability that a path's perturbed value passes the best value that was left
     out; 1 where nothing was. A text with fewer segmentations gives them all. An empty text gives one, of no ids.
     """
-    numbers: defaultdict[str, int] = defaultdict()
+    kept = kept or Kept({})
+    numbers: defaultdict[str, int] = defaultdict(None, kept.numbers)
     numbers.default_factory = numbers.__len__
     split = [t.split(" ") if t else [] for t in texts]
     sizes = list(map(len, split))
     occurrences = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
-    if not numbers:
+    if len(occurrences) == 0:
         return [[(np.empty(0, np.int32), 0.0, 1.0)] for _ in texts]
-    lattice = Lattice(vocabulary, list(numbers))
+    lattice, new = kept.lattice, list(numbers)[len(kept.numbers) :]
+    if new:
+        lattice = Lattice(vocabulary, new, kept.lattice)
+        if len(lattice.piece) <= KEPT_ARCS:
+            kept.numbers, kept.lattice = dict(numbers), lattice
     starts = np.append(0, np.cumsum(sizes))
     own_seeds = np.repeat(np.array(seeds, np.uint64), sizes)
     places = (np.arange(len(occurrences)) - np.repeat(starts[:-1], sizes)).astype(np.uint64)
@@ -511,12 +545,12 @@ def encode(
         shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value, sampling.sharpness)
+        vocabulary, kept = Vocabulary(shared.value, sampling.sharpness), Kept({})
         for batch in batches:
             for part in _slices(batch):
                 texts = part.column("text").to_pylist()
                 seeds = [row_seed(key, sampling.seed) for key in part.column("key").to_pylist()]
-                samples = sample_texts(vocabulary, texts, seeds, sampling.count)
+                samples = sample_texts(vocabulary, texts, seeds, sampling.count, kept)
                 same = [
                     all(vocabulary.decode(ids) == own for ids, _, _ in row)
                     for own, row in zip((t.encode() for t in texts), samples, strict=True)
