@@ -7,6 +7,8 @@ reaches its reducer as one row per task, never as the whole group.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,20 +20,18 @@ def _best(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame
     return ranked.filter("_rank = 1").drop("_rank")
 
 
-def latest_rows(events: DataFrame) -> DataFrame:
+def latest_rows(events: DataFrame, constant: Collection[str] = ()) -> DataFrame:
     """Read-time dedup: among rows equal on (project, day, event, distinct_id, event_id) keep
     the one stored last.
 
     Filters on those key columns may come before; all others belong after it. ``event_id``
-    leads the key because it tells rows apart at the first sort comparison.
+    leads the key because it tells rows apart at the first sort comparison. Key columns in
+    ``constant`` have one value in all rows and are left out of sort and shuffle.
     """
-    keys = [
-        F.col("event_id"),
-        F.col("distinct_id"),
-        F.col("event"),
-        F.to_date("timestamp"),
-        F.col("project_id"),
-    ]
+    keys = [F.col(c) for c in ("event_id", "distinct_id", "event") if c not in constant]
+    keys.append(F.to_date("timestamp"))
+    if "project_id" not in constant:
+        keys.append(F.col("project_id"))
     newest = [F.desc("ingested_at"), F.desc("kafka_offset"), F.desc("timestamp")]
     return _best(events, keys, newest)
 

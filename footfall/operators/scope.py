@@ -78,7 +78,8 @@ def current_rows(
     is_settled = F.col("month").isin(settled)
     fresh = events.filter(~is_settled) if settled else events
     days = (day_floor(start), day_ceil(end))
-    kept = latest_rows(read(fresh, *days))
+    constant = ("project_id", "event") if len(event_names) == 1 else ("project_id",)
+    kept = latest_rows(read(fresh, *days), constant)
     if days != (start, end):
         kept = kept.filter((F.col("timestamp") >= F.lit(start)) & (F.col("timestamp") < F.lit(end)))
     return kept.unionByName(read(events.filter(is_settled), start, end)) if settled else kept
