@@ -291,18 +291,20 @@ def next_versions(plans: DataFrame, proposed: DataFrame) -> DataFrame:
     """Decide on proposed plans (``project_id, plan, allow_breaking``), one per project.
 
     Returns them with ``version`` (next after the project's highest), ``changes`` and ``status``:
-    ``saved``, ``breaking_change`` or ``invalid:<reason>``. Append the saved ones to the table;
-    one writer at a time is assumed.
+    ``saved``, ``breaking_change``, ``invalid:<reason>``, or ``conflicting_proposals`` where a
+    project has several at once. ``append_versions`` stores the saved ones.
     """
     current = latest_plans(plans).select(
         "project_id", F.col("version").alias("current"), F.col("plan").alias("old")
     )
-    judged = proposed.join(current, "project_id", "left")
+    counted = proposed.groupBy("project_id").agg(F.count(F.lit(1)).alias("proposals"))
+    judged = proposed.join(counted, "project_id").join(current, "project_id", "left")
     none = F.array().cast("array<string>")
     changes = F.when(F.col("old").isNull(), none).otherwise(plan_changes(F.col("old"), F.col("plan")))
     problem = plan_problem(F.col("plan"))
     status = (
         F.when(problem.isNotNull(), F.concat(F.lit("invalid:"), problem))
+        .when(F.col("proposals") > 1, "conflicting_proposals")
         .when((F.size("changes") > 0) & ~F.col("allow_breaking"), "breaking_change")
         .otherwise("saved")
     )
@@ -312,3 +314,12 @@ def next_versions(plans: DataFrame, proposed: DataFrame) -> DataFrame:
         .withColumn("version", F.coalesce("current", F.lit(0)) + 1)
         .select("project_id", "version", "plan", "changes", "status")
     )
+
+
+def append_versions(decided: DataFrame, path: str) -> None:
+    """Append the saved rows of ``next_versions`` to the stored plan table at ``path``.
+
+    One writer at a time is assumed: the decision reads the table it appends to.
+    """
+    saved = decided.filter(F.col("status") == "saved")
+    saved.select("project_id", "version", "plan").write.mode("append").parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +89,16 @@ def dead_letter_records(letters: DataFrame) -> DataFrame:
             header("source_offset", "source_offset"),
         ).alias("headers"),
     )
+
+
+def kafka_letter_sink(servers: str, topic: str = "events.dead") -> Callable[[DataFrame, int], None]:
+    """A sink for ``start_stream`` that publishes dead letters. A replayed micro-batch publishes
+    its letters again; consumers tell them by source topic, partition and offset."""
+
+    def write(letters: DataFrame, batch_id: int) -> None:
+        records = dead_letter_records(letters).write.format("kafka")
+        records.option("kafka.bootstrap.servers", servers).option("topic", topic).option(
+            "includeHeaders", "true"
+        ).save()
+
+    return write

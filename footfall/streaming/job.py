@@ -7,6 +7,7 @@ directories named after its batch, so a crash at any point replays the batch ont
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -110,11 +111,21 @@ def _overwrite(rows: DataFrame, path: str, *partitions: str) -> None:
     writer.partitionBy(*partitions).parquet(path)
 
 
-def store_batch(parsed: DataFrame, batch_id: int, store: Store, exact_window: str | None) -> None:
+LetterSink = Callable[[DataFrame, int], None]
+
+
+def store_batch(
+    parsed: DataFrame,
+    batch_id: int,
+    store: Store,
+    exact_window: str | None,
+    letter_sink: LetterSink | None = None,
+) -> None:
     """Store one micro-batch of parsed messages; repeating it changes nothing.
 
     With ``exact_window`` repeated ids are dropped here, against the ids stored in the window
-    before now; the first copy in log order stays.
+    before now; the first copy in log order stays. Dead letters go to the store, or to
+    ``letter_sink(letters, batch_id)``.
     """
     spark = parsed.sparkSession
     now = datetime.now(UTC)
@@ -151,7 +162,10 @@ def store_batch(parsed: DataFrame, batch_id: int, store: Store, exact_window: st
             "failed_at": F.lit(now),
             "batch_id": F.lit(batch_id),
         })
-        _overwrite(letters, store.dead_letters, "batch_id")
+        if letter_sink is None:
+            _overwrite(letters, store.dead_letters, "batch_id")
+        elif totals["dead_lettered"]:
+            letter_sink(letters, batch_id)
 
         consumed, dead = totals
         counts = (batch_id, consumed, inserted, consumed - inserted - dead, dead)
@@ -199,6 +213,7 @@ def start_stream(
     window: str = limits.DEDUP_WINDOW,
     available_now: bool = False,
     interval: str = "10 seconds",
+    letter_sink: LetterSink | None = None,
 ) -> StreamingQuery:
     """Start (or, with the same store, resume) the ingest stream.
 
@@ -215,7 +230,7 @@ def start_stream(
         parsed = drop_seen_ids(parsed, window)
     exact = window if dedup == "exact" else None
     writer = parsed.writeStream.foreachBatch(
-        lambda batch, batch_id: store_batch(batch, batch_id, store, exact)
+        lambda batch, batch_id: store_batch(batch, batch_id, store, exact, letter_sink)
     ).option("checkpointLocation", store.checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     if dedup == "exact":

@@ -171,6 +171,19 @@ def test_retries_repeats_and_poison(runner):
         assert kept["timestamp"].second == 0  # the first copy stays
 
 
+def test_letters_go_to_the_chosen_sink(spark, tmp_path):
+    runner = Runner(spark, str(tmp_path), "exact")
+    runner.send(message(), b"{broken", b"[]")
+    raw = read_raw_stream(spark, path=f"{runner.root}/log")
+
+    def sink(letters, batch_id):
+        dead_letter_records(letters).write.parquet(f"{tmp_path}/letters/{batch_id}")
+
+    job.start_stream(raw, runner.store, available_now=True, letter_sink=sink).awaitTermination()
+    assert spark.read.parquet(f"{tmp_path}/letters/0").count() == 2
+    assert job.stored_letters(spark, runner.store).count() == 0 and runner.report() == [(3, 1, 0, 2)]
+
+
 def test_a_batch_of_copies_alone_is_reported(runner):
     sent = [message(event=f"e{k}") for k in range(5)]
     runner.send(*sent)
