@@ -32,6 +32,9 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
 
+#: Parts of a run without the separators of base64url, of base64, and of both.
+_PARTS = [re.compile(f"[A-Za-z0-9{more}]{{16,}}") for more in ("+/", "_-", "")]
+
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings from the narrowest; a run has the first that holds all its characters.
 ENCODINGS = {
@@ -122,22 +125,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
 
 
+def _parts(run: str) -> list[tuple[int, int]]:
+    """Places of the parts of a run that have an encoding: the run, or where it mixes the separators of two
+    encodings, what stands between those of either and of both."""
+    if encoding_of(run) is not None:
+        return [(0, len(run))]
+    return sorted({m.span() for part in _PARTS for m in part.finditer(run)})
+
+
 def candidates(text: str, surprise: dict[str, float]) -> list[tuple[int, int, int]]:
-    """(start, end, depth) of runs that pass the battery; depth is minus log10 of the p-value against text.
+    """(start, end, depth) of all tested runs; depth is minus log10 of the p-value against text, and 0 where this is
+    no more than a tenth, the battery rejects the run or a deeper part overlaps it.
 
     Numbers are not secrets by themselves and are left out.
     """
     found = []
     for m in _RUN.finditer(text):
-        encoding = encoding_of(m[0])
-        if encoding in (None, "decimal"):
-            continue
-        gain = sum(surprise[c] for c in m[0]) - len(m[0]) * math.log10(len(ENCODINGS[encoding]))
-        if encoding in _MIXED:
-            gain += math.log10(2) * sum(c.isalpha() for c in m[0])  # where case is random, it doubles the alphabet
-        if gain >= 1 and random_p(m[0], encoding) >= REJECT:
-            found.append((m.start(), m.end(), min(_DEEPEST, int(gain))))
-    return found
+        tested = []
+        for start, end in _parts(m[0]):
+            run = m[0][start:end]
+            encoding = encoding_of(run)
+            if encoding == "decimal":
+                continue
+            gain = sum(surprise[c] for c in run) - len(run) * math.log10(len(ENCODINGS[encoding]))
+            if encoding in _MIXED:
+                gain += math.log10(2) * sum(c.isalpha() for c in run)  # where case is random, it doubles the alphabet
+            passed = gain >= 1 and random_p(run, encoding) >= REJECT
+            tested.append((gain if passed else 0, m.start() + start, m.start() + end))
+        held: list[tuple[int, int]] = []
+        for gain, start, end in sorted(tested, key=lambda t: (-t[0], t[1])):
+            alone = all(end <= s or start >= e for s, e in held)
+            if gain and alone:
+                held.append((start, end))
+            found.append((start, end, min(_DEEPEST, int(gain)) if alone else 0))
+    return sorted(found)
 
 
 def _surprise(docs: DataFrame, text_col: str) -> dict[str, float]:
@@ -186,7 +207,7 @@ def _length_class(span: Column) -> Column:
 def _limits(found: DataFrame) -> list[int]:
     """Per class of lengths, the least depth reported, by the Benjamini-Hochberg rule on whole depths.
 
-    The candidates of all documents are counted by class and depth: a table of bounded size.
+    All tested runs of all documents are counted by class and depth: a table of bounded size.
     """
     spans = found.select(F.explode("found").alias("s")).where("s.kind = 'random'")
     counts = (

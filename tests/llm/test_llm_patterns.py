@@ -251,3 +251,14 @@ def test_false_discovery_limits_follow_the_step_up_rule(spark):
     ranked = sorted(depths, reverse=True)
     passed = [d for k, d in enumerate(ranked, 1) if 10.0**-d <= secret_scan.FALSE_SHARE * k / len(ranked)]
     assert limit == (min(passed) if passed else 61)
+
+
+def test_every_tested_run_counts_and_mixed_separators_are_split():
+    surprise = {c: 3.0 if c.isdigit() else 1.5 for c in secret_scan._VALUES["base64"]} | {"-": 2.0, "_": 2.0}
+    dull = dict.fromkeys(surprise, 0.5)
+    assert secret_scan.candidates("see some/ordinary/path here", dull) == [(4, 22, 0)]
+    key = "q7Zr2XvB9kLmT4wYc8NdJ5hGs3PfA6eU"
+    for text in (f"a-b/{key}", f"{key}-x/y", f"lib/{key}_old"):
+        at = text.index(key)
+        deep = [(s, e) for s, e, depth in secret_scan.candidates(text, surprise) if depth]
+        assert len(deep) == 1 and deep[0][0] <= at and deep[0][1] >= at + len(key)
