@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 from datetime import timedelta
 
-from conftest import PROJECT, at, row
+from rows import PROJECT, at, row
 
 from footfall.operators.funnel import funnel, funnel_levels
 from footfall.plans.requests import FunnelQuery, FunnelStep, PropertyFilter

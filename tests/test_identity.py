@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import PROJECT, at, row
+from rows import PROJECT, at, row
 
 from footfall.analytics import ProjectAnalytics
 from footfall.operators.funnel import funnel

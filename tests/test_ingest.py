@@ -5,7 +5,7 @@ import uuid
 from datetime import UTC, datetime, timedelta
 
 import pytest
-from conftest import PROJECT
+from rows import PROJECT
 from pyspark.sql import functions as F
 
 from footfall.functions.scalars import canonical_uuid

@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import timedelta
 
 import pytest
-from conftest import PROJECT, at, row
+from rows import PROJECT, at, row
 from pyspark.sql import functions as F
 
 from footfall.operators.funnel import funnel

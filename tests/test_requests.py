@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from conftest import at
+from rows import at
 
 from footfall.plans.requests import (
     FunnelQuery,

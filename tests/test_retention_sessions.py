@@ -4,7 +4,7 @@ import random
 from datetime import timedelta
 
 import pytest
-from conftest import PROJECT, at, row
+from rows import PROJECT, at, row
 
 from footfall.operators.retention import cohort_sizes, retention, retention_matrix
 from footfall.operators.sessions import session_report, session_totals, sessionize

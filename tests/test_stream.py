@@ -7,7 +7,7 @@ import uuid
 from datetime import UTC, datetime, timedelta
 
 import pytest
-from conftest import PROJECT, at, row
+from rows import PROJECT, at, row
 from pyspark.sql import functions as F
 
 import footfall.streaming.job as job
