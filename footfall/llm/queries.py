@@ -10,7 +10,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.llm import chat, decontaminate, license_scan, lm_score, near_dedup, pii, quality, secret_scan, segment, warc
+from footfall.llm import (
+    chat,
+    decontaminate,
+    license_scan,
+    lm_score,
+    near_dedup,
+    pii,
+    quality,
+    resample,
+    secret_scan,
+    segment,
+    warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +49,38 @@ SQL_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 SQL_BLANK = "regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0D]+')"
 SQL_ALNUM = "regexp_extract_all(coalesce({}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+
+
+def sql_crc(strings: str) -> str:
+    """CTEs that give ``crcs(s, crc)``: CRC-32 of the UTF-8 bytes of the distinct strings of a query.
+
+    CRC-32 is linear: ``reg(m, v)`` is the register 1 after m zero bits, and each set bit of a byte adds one of its values.
+    """
+    return f"""
+strings AS (SELECT DISTINCT s, strlen(s) AS size FROM ({strings}) AS given(s)),
+reg(m, v) AS (
+    SELECT -31, CAST(2147483648 AS BIGINT)
+    UNION ALL
+    SELECT m + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END
+    FROM reg WHERE m < 8 * (SELECT coalesce(max(size), 0) FROM strings)
+),
+byte AS (
+    SELECT CAST((m + k) // 8 - 1 AS BIGINT) AS after, b, bit_xor(v) AS v
+    FROM reg, range(0, 8) AS r(k), range(0, 256) AS q(b)
+    WHERE (m + k) % 8 = 0 AND m + k >= 8 AND (b >> k) & 1 = 1 GROUP BY ALL
+),
+start AS (SELECT CAST((m + j) // 8 AS BIGINT) AS size, bit_xor(v) AS v FROM reg, range(0, 32) AS r(j) WHERE (m + j) % 8 = 0 AND m + j >= 0 GROUP BY ALL),
+bytes AS (
+    SELECT s, size - 1 - i AS after, CAST('0x' || substr(hex(encode(s)), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT) AS b
+    FROM (SELECT s, size, unnest(range(0, size)) AS i FROM strings)
+),
+body AS (SELECT s, bit_xor(v) AS v FROM bytes JOIN byte USING (after, b) GROUP BY s),
+crcs AS (
+    SELECT s, xor(xor(coalesce(body.v, 0), start.v), 4294967295) AS crc
+    FROM strings JOIN start USING (size) LEFT JOIN body USING (s)
+)"""
+
+
 @register("op1_license_scan")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     places, both = F.col("places"), F.concat("places", "notices")
@@ -246,6 +290,52 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP11 = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, {SQL_ALNUM.format(SQL_LOWER.format("text"))} AS w FROM documents
+),
+t AS (SELECT {SQL_ALNUM.format(SQL_LOWER.format("text"))} AS w FROM benchmark),
+found AS (
+    SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s
+    FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, range(1, 4) AS r(k) WHERE len(w) >= k)
+),
+wanted AS (
+    SELECT array_to_string(w[i:i + k - 1], ' ') AS s
+    FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM t, range(1, 4) AS r(k) WHERE len(w) >= k)
+),{sql_crc("SELECT s FROM found UNION ALL SELECT s FROM wanted")},
+source AS (SELECT crc % 10000 AS bucket, count(*) AS n FROM found JOIN crcs USING (s) GROUP BY ALL),
+target AS (SELECT crc % 10000 AS bucket, count(*) AS n FROM wanted JOIN crcs USING (s) GROUP BY ALL),
+gains AS (
+    SELECT k AS bucket, CAST(floor(1000 * ln(
+        CAST(coalesce(target.n, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM found) + 10000)
+        / (CAST(coalesce(source.n, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM wanted) + 10000)))) AS BIGINT) AS gain
+    FROM range(0, 10000) AS r(k) LEFT JOIN source ON source.bucket = k LEFT JOIN target ON target.bucket = k
+),
+weighed AS (
+    SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight
+    FROM found JOIN crcs USING (s) JOIN gains ON bucket = crc % 10000 GROUP BY doc_id
+),
+scored AS (
+    SELECT doc_id, len(w) AS words, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+           coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+               (CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT)
+               AS score
+    FROM d LEFT JOIN weighed USING (doc_id)
+),
+ranked AS (
+    SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS size
+    FROM scored WHERE words >= 20
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+       CASE WHEN place <= 5 * size // 100 THEN CAST(place AS BIGINT) END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)"""
+
+
+@register("op11_resample", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
