@@ -18,6 +18,7 @@ from footfall.llm import (
     near_dedup,
     pii,
     quality,
+    repair,
     resample,
     secret_scan,
     segment,
@@ -336,6 +337,86 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+OP12 = f"""
+WITH RECURSIVE given AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s
+    FROM conversations
+),{sql_crc("SELECT s FROM given")},
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+           CASE h WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+           unnest(range(0, CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM (SELECT given.*, crc % 20 AS h FROM given JOIN crcs USING (s)) WHERE h <> 0
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged
+),
+looked AS (
+    SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS is_blank,
+           row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+           NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut,
+           left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+    FROM placed
+),
+faulty AS (
+    SELECT *, is_blank OR again AS must_go, CAST(cut AND NOT is_blank AND NOT again AS INTEGER) AS extra FROM looked
+),
+moves(letter) AS (VALUES ('D'), ('K'), ('R')),
+dp AS (
+    SELECT conv_id, CAST(0 AS BIGINT) AS i, q, cost, audit, lines
+    FROM (SELECT DISTINCT conv_id FROM faulty),
+         (VALUES (0, 0, '', CAST([] AS VARCHAR[])), (2, 2, 'I', ['user:']), (3, 4, 'II', ['user:', 'assistant:']))
+         AS v(q, cost, audit, lines)
+    UNION ALL
+    SELECT conv_id, i, q, cost, audit, lines FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) AS turn_of FROM (
+            SELECT conv_id, i, CASE extra_turns WHEN 0 THEN q WHEN 1 THEN CASE q WHEN 2 THEN 3 ELSE 2 END
+                               ELSE CASE q WHEN 2 THEN 2 ELSE 3 END END AS q,
+                   cost + 2 * extra_turns AS cost, audit || repeat('I', extra_turns) AS audit,
+                   lines || (CASE WHEN q = 2 THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END)[1:extra_turns] AS lines
+            FROM (
+                SELECT dp.conv_id, f.i,
+                       CASE letter WHEN 'D' THEN q WHEN 'R' THEN CASE q WHEN 2 THEN 3 ELSE 2 END
+                                   ELSE CASE c WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS q,
+                       cost + CASE letter WHEN 'D' THEN 3 WHEN 'R' THEN 2 + extra ELSE extra END AS cost,
+                       audit || letter AS audit,
+                       CASE letter WHEN 'D' THEN lines
+                                   WHEN 'R' THEN lines || [CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END || text]
+                                   ELSE lines || [role || ':' || text] END AS lines
+                FROM dp JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1, moves
+                WHERE letter = 'D' OR NOT must_go
+                      AND (letter = 'R' OR c = 's' AND q = 0 OR c = 'u' AND q IN (0, 1, 3) OR c = 'a' AND q = 2)
+            ), range(0, 3) AS r(extra_turns)
+        )
+    ) WHERE turn_of = 1
+),
+faults AS (
+    SELECT conv_id, max(i) AS rows_left,
+           coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (is_blank) AS blank, count(*) FILTER (again AND NOT is_blank) AS duplicate,
+           sum(extra) AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM faulty GROUP BY conv_id
+),
+best AS (
+    SELECT dp.conv_id, cost, audit, lines FROM dp JOIN faults f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND i = rows_left
+    WHERE q IN (0, 3) QUALIFY row_number() OVER (PARTITION BY dp.conv_id ORDER BY cost, audit) = 1
+)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+       CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+@register("op12_repair", OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(read(spark, sf_dir, "conversations"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
