@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from footfall.llm import (
     chat,
     decontaminate,
+    lang_id,
     license_scan,
     lm_score,
     near_dedup,
@@ -417,6 +418,11 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(read(spark, sf_dir, "conversations"))
 
 
+@register("op13_lang_id")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(read(spark, sf_dir, "documents"))
+
+
 @register("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="driver tables
 
 def test_one_query_for_each_operator_and_the_pipeline():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(n.split("_")[0] for n in names) == sorted(["pipeline", *(f"op{k}" for k in range(1, 11))])
+    assert sorted(n.split("_")[0] for n in names) == sorted(["pipeline", *(f"op{k}" for k in range(1, 14))])
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, name):
     assert problem is None, problem
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op5_lm_score", "op8_secret_scan", "op9_segment", "op10_pii"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op5_lm_score", "op8_secret_scan", "op9_segment", "op10_pii", "op13_lang_id"])
 def test_query_has_a_row_for_each_document(spark, name):
     ids = sorted(r.doc_id for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id").collect())
     assert sorted(r.doc_id for r in queries.QUERIES[name](spark, SF_DIR).collect()) == ids
