@@ -21,6 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from footfall.llm.scratch import Scratch
 from footfall.llm.texts import opened, pieces, share
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -65,10 +66,12 @@ def is_held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
 
 def labelled_sample(labelled: DataFrame, rule: LangId) -> DataFrame:
     """(lang, text): about ``rule.rows`` different texts for each language, the same ones in every run."""
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("size")).collect()  # one row a language
+    if not sizes:
+        return labelled.select("lang", "text")
+    share_of = F.create_map(*(F.lit(x) for row in sizes for x in (row["lang"], float(rule.rows << 32) / row["size"])))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 32))
-    chosen = labelled.join(sizes.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang"))
-    return chosen.where(place * F.col("size") < F.lit(float(rule.rows << 32))).select("lang", "text").distinct()
+    return labelled.where(place < share_of[F.col("lang")]).select("lang", "text").distinct()
 
 
 def _counts(sample: DataFrame, rule: LangId) -> DataFrame:
@@ -127,7 +130,9 @@ class Model:
 def fit(labelled: DataFrame, rule: LangId = LangId()) -> Model:
     """A model of rows (lang, text); rows without a lang or text teach nothing."""
     rows = labelled.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
-    counts = _counts(labelled_sample(rows.where("lang IS NOT NULL AND text IS NOT NULL"), rule), rule)
+    scratch = Scratch(rows.sparkSession, "lang-id")
+    sample = labelled_sample(rows.where("lang IS NOT NULL AND text IS NOT NULL"), rule)
+    counts = scratch.save(_counts(sample, rule), "counts")
     by_rank = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "token")
     limit = F.when(F.col("size") == 0, rule.words).otherwise(rule.runs)
     totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("total")).collect()
