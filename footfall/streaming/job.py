@@ -7,7 +7,8 @@ directories named after its batch, so a crash at any point replays the batch ont
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
@@ -20,8 +21,10 @@ from footfall.operators.dedup import drop_recently_stored, first_in_batch, remem
 from footfall.operators.identity import identity_links
 from footfall.plans import limits
 from footfall.schemas import DEAD_LETTERS, EVENTS, IDENTITY_LINKS
+from footfall.session import DEFAULTS
 from footfall.sources.events import child_dirs, delete_dir, write_events
 from footfall.streaming.messages import dead_letters, event_rows, parse_messages
+from footfall.streaming.seen import flag_copies
 
 IDS = T.StructType([
     T.StructField("project_id", T.StringType()),
@@ -124,19 +127,24 @@ def store_batch(
     """Store one micro-batch of parsed messages; repeating it changes nothing.
 
     With ``exact_window`` repeated ids are dropped here, against the ids stored in the window
-    before now; the first copy in log order stays. Dead letters go to the store, or to
+    before now; the first copy in log order stays. Rows whose ``copies`` is above zero are no
+    messages but count those the state left out. Dead letters go to the store, or to
     ``letter_sink(letters, batch_id)``.
     """
     spark = parsed.sparkSession
     now = datetime.now(UTC)
-    parsed = parsed.persist()
+    held = parsed = parsed.persist()
     rows = None
     try:
+        copies = F.col("copies") if "copies" in parsed.columns else F.lit(0)
         totals = parsed.agg(
-            F.count(F.lit(1)).alias("consumed"), F.count("reason").alias("dead_lettered")
+            F.coalesce(F.sum(F.greatest(copies, F.lit(1))), F.lit(0)).alias("consumed"),
+            F.count("reason").alias("dead_lettered"),
         ).first()
         if not totals["consumed"]:  # a micro-batch that only moves the watermark
             return
+        if "copies" in parsed.columns:
+            parsed = parsed.filter("copies = 0").drop("copies")
         rows = event_rows(parsed)
         if exact_window is not None:
             ids = store.read(spark, store.stored_ids, IDS).filter(F.col("batch_id") != batch_id)
@@ -172,7 +180,7 @@ def store_batch(
         report = spark.createDataFrame([counts], REPORT)
         _overwrite(report, store.report, "batch_id")
     finally:
-        parsed.unpersist()
+        held.unpersist()
         if rows is not None:
             rows.unpersist()
 
@@ -206,10 +214,31 @@ class ProgressTable(StreamingQueryListener):
             self.spark.streams.removeListener(self)
 
 
+def _millis(spark: SparkSession, window: str) -> int:
+    span = F.expr(f"timestamp_millis(0) + interval {window}")
+    return spark.range(1).select(F.unix_millis(span)).first()[0]
+
+
+@contextmanager
+def _state_settings(spark: SparkSession) -> Iterator[None]:
+    """Keyed state needs RocksDB, and has a micro-batch without data follow every other one unless that is turned
+    off (expired ids don't need it: they are never read). A query takes the settings over when it starts."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    wanted = {provider: DEFAULTS[provider], "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def start_stream(
     raw: DataFrame,
     store: Store,
-    dedup: str = "exact",
+    dedup: str = "ttl",
     window: str = limits.DEDUP_WINDOW,
     available_now: bool = False,
     interval: str = "10 seconds",
@@ -217,22 +246,29 @@ def start_stream(
 ) -> StreamingQuery:
     """Start (or, with the same store, resume) the ingest stream.
 
-    ``dedup="exact"`` keeps a table of stored ids by hour and joins each micro-batch with the
-    hours inside the window: exact to the second, first in log order. ``dedup="state"`` remembers
-    ids in the state store, where cost grows with the new rows only; it keeps any copy of a
-    micro-batch and remembers an id for up to twice the window, which drops events that repeat
-    an id between the two. The rows it drops are kept in the progress table of the store.
+    ``dedup="ttl"`` keeps ids in the state store and forgets each one exactly ``window`` after it was
+    stored; the first copy in log order stays, a micro-batch costs what its own rows cost, and
+    copies are counted in the micro-batch that reads them. ``dedup="exact"`` decides the same
+    from a table of stored ids by hour that each micro-batch joins: no Python, but its cost grows
+    with the window. ``dedup="state"`` needs no Python either and costs what the new rows cost, but it
+    keeps any copy of a micro-batch and remembers an id for up to twice the window; the rows it
+    drops are kept in the progress table of the store.
     """
-    if dedup not in ("state", "exact"):
+    if dedup not in ("ttl", "state", "exact"):
         raise ValueError(f"unknown dedup '{dedup}'")
     parsed = parse_messages(raw)
-    if dedup == "state":
+    if dedup == "ttl":
+        parsed = flag_copies(parsed, _millis(raw.sparkSession, window))
+    elif dedup == "state":
         parsed = drop_seen_ids(parsed, window)
     exact = window if dedup == "exact" else None
     writer = parsed.writeStream.foreachBatch(
         lambda batch, batch_id: store_batch(batch, batch_id, store, exact, letter_sink)
     ).option("checkpointLocation", store.checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
+    if dedup == "ttl":
+        with _state_settings(raw.sparkSession):
+            return writer.trigger(**trigger).start()
     if dedup == "exact":
         return writer.trigger(**trigger).start()
     name = f"ingest-{uuid.uuid4().hex}"

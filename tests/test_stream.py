@@ -144,7 +144,7 @@ class Runner:
         return found
 
 
-@pytest.fixture(params=["exact", "state"])
+@pytest.fixture(params=["ttl", "exact", "state"])
 def runner(request, spark, tmp_path):
     return Runner(spark, str(tmp_path), request.param)
 
@@ -166,7 +166,7 @@ def test_retries_repeats_and_poison(runner):
     links = merge_links(job.stored_links(runner.spark, runner.store)).collect()
     assert [(r["anonymous_id"], r["user_id"]) for r in links] == [("anon-1", "u-1")]
     assert runner.report(consumed=8) == [(6, 2, 2, 2), (2, 1, 1, 0)]
-    if runner.dedup == "exact":
+    if runner.dedup != "state":
         kept = runner.rows().filter("event = 'purchase'").first()
         assert kept["timestamp"].second == 0  # the first copy stays
 
@@ -306,6 +306,51 @@ def test_old_ids_are_forgotten(spark, tmp_path):
     assert [r[1] for r in runner.report()] == [1, 1]
 
 
+def test_an_id_is_forgotten_one_window_after_it_was_stored(spark, tmp_path):
+    runner = Runner(spark, str(tmp_path), "ttl")
+    same = [message() for _ in range(3)]
+
+    def drain(window):
+        raw = read_raw_stream(spark, path=f"{runner.root}/log")
+        job.start_stream(raw, runner.store, window=window, available_now=True).awaitTermination()
+
+    runner.send(*same)
+    drain("20 seconds")
+    stored = time.time()
+    runner.send(*same)
+    drain("20 seconds")
+    assert time.time() - stored < 20, "too slow a machine for this window"
+    time.sleep(max(0, stored + 21 - time.time()))  # a copy in between did not extend it
+    runner.send(*same, *same)
+    drain("20 seconds")
+    assert runner.report() == [(3, 3, 0, 0), (3, 0, 3, 0), (6, 3, 3, 0)]
+
+
+def test_first_in_log_order_stays_whatever_the_order_of_arrival(spark, tmp_path):
+    runner = Runner(spark, str(tmp_path), "ttl")
+    ids = [str(uuid.uuid4()) for _ in range(20)]
+    sent = [message(event_id=ids[k % 20], event=f"e{k // 20}") for k in range(200)]
+    runner.sent = 0
+    log = records(spark, *sent).repartition(6)
+    log.write.mode("append").json(f"{runner.root}/log")
+    runner.run()
+    assert {(r["event"], r["kafka_offset"] < 20) for r in runner.rows().collect()} == {("e0", True)}
+    assert runner.report() == [(200, 20, 180, 0)]
+
+
+def test_a_micro_batch_reads_no_ids_of_the_window(spark, tmp_path, monkeypatch):
+    """Cost per micro-batch: the state is asked for its own ids, and no table of ids exists."""
+    runner = Runner(spark, str(tmp_path), "ttl")
+    monkeypatch.setattr(job, "drop_recently_stored", None)
+    monkeypatch.setattr(job, "remembered_ids", None)
+    for k in range(3):
+        runner.send(*(message() for _ in range(4)))
+        progress = runner.run().lastProgress
+        assert progress.numInputRows == 4
+    assert not (tmp_path / "store" / "stored_ids").exists()
+    assert sum(r[1] for r in runner.report()) == 12
+
+
 def test_window_is_24_hours_from_storing(spark):
     rows = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "a")], "project_id string, event_id string")
     now = datetime(2026, 6, 2, tzinfo=UTC)
