@@ -13,7 +13,7 @@ def prose(rng: random.Random, count: int) -> str:
 
 EDGE_SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, kept string, n_words string, spans string,"
-    " host string, bucket string, body string, row string"
+    " host string, bucket string, body string, row string, _gone string, _id string, _hash string"
 )
 
 
@@ -29,7 +29,7 @@ def edge_rows():
     ]
     rows = [(k, t, "en", f"src{k % 3}", len(t) if t else None) for k, t in enumerate(texts)]
     rows += [rows[5], rows[5], (None, None, None, None, None), (None, base, None, None, 1), (5, "another text of id five", "en", None, 0)]
-    return [(*r, "x", "y", None, "h", "b", "c", "r") for r in rows]
+    return [(*r, "x", "y", None, "h", "b", "c", "r", "g", "i", "x") for r in rows]
 
 
 @pytest.fixture(scope="session")
