@@ -264,17 +264,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, share:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that are not contaminated, with the columns of ``docs``."""
-    bad = (
-        contamination(docs, benchmark)
-        .where("contaminated")
-        .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-        .distinct()
-    )
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.join(
-        bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left_anti"
-    )
+    """Documents that are not contaminated, with the columns of ``docs``, whatever their names.
+
+    A null or empty text holds no item and stays. Rows that repeat an id are judged by their own texts; rows that
+    are repeated whole stay or go together. Very long texts are texts like others. Without rows the result is empty; without
+    items nothing goes.
+    """
+    bad = contamination(docs, benchmark).where("contaminated").select(F.struct("doc_id", "text_hash").alias("bad")).distinct()
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit("")).cast("binary")
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("bad.doc_id")) & (F.xxhash64(text) == F.col("bad.text_hash"))
+    return docs.select(F.struct("*").alias("row")).join(bad, same, "left_anti").select("row.*")
 
 
 def items_digest(spans: Column) -> Column:

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm.scratch import Scratch
 from footfall.llm.texts import LOWER, SPACES, UPPER, bind, blank_words
 
 SYMBOLS = "#*$%&|<>"
@@ -20,13 +21,13 @@ WINDOW = 5
 class LineRules:
     """Limits of the cross-document rule.
 
-    A normalised line is boilerplate of its host when at least ``min_documents`` different texts of the host
-    hold it and these are more than ``max_share`` of the host's different texts. A document is depleted when
-    its boilerplate lines leave fewer than ``min_words`` words or less than ``min_left`` of its words.
+    A normalised line is boilerplate of its host when enough different texts of the host hold it: ``limits`` are
+    (least words of the line, texts), the first that fits counts, and they don't depend on the size of the host. Short lines
+    recur by chance, so they need more. A document is depleted when its boilerplate lines leave fewer than
+    ``min_words`` words or less than ``min_left`` of its words.
     """
 
-    min_documents: int = 20
-    max_share: float = 0.2
+    limits: tuple[tuple[int, int], ...] = ((20, 20), (5, 50), (0, 1000))
     min_words: int = 10
     min_left: float = 0.3
 
@@ -102,46 +103,39 @@ def same_row(left: DataFrame, right: DataFrame) -> Column:
     )
 
 
-def boilerplate(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+def line_table(docs: DataFrame) -> DataFrame:
+    """Each line of each row: key, place, hash of the normalised line and its words. Written once, read by both rules."""
+    at = F.posexplode(
+        F.transform(
+            _lines(F.col("body")),
+            lambda line: F.struct(_line_hash(line).alias("line"), F.size(blank_words(line)).cast("long").alias("words")),
+        )
+    )
+    held = _keyed(docs).select(*KEY, at.alias("place", "at")).select(*KEY, "place", "at.line", "at.words")
+    return Scratch(docs.sparkSession, "quality").save(held, "lines")
+
+
+def boilerplate(lines: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """(host, line): hashes of normalised lines above the limits of their host.
 
     Documents count by different text, so copies of one document don't make its lines boilerplate. All counts
     are combined before they are shuffled; no key needs its rows together.
     """
-    rows = _keyed(docs)
-    held = rows.select(
-        "host",
-        "text_hash",
-        F.explode(F.array_distinct(F.transform(_lines(F.col("body")), _line_hash))).alias("line"),
-    )
     counts = (
-        held.distinct()
+        lines.select("host", "text_hash", "line", "words")
+        .distinct()
         .groupBy("host", "line")
-        .agg(F.count("*").alias("n_documents"))
-        .where(F.col("n_documents") >= rules.min_documents)
-    )
-    hosts = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
-    return (
-        counts.join(hosts, "host")
-        .where(F.col("n_documents") > rules.max_share * F.col("n_host"))
-        .select("host", "line")
+        .agg(F.count("*").alias("n_documents"), F.max("words").alias("words"))
     )
+    limit = F.coalesce(*(F.when(F.col("words") >= words, F.lit(texts)) for words, texts in rules.limits))
+    return counts.where(F.col("n_documents") >= limit).select("host", "line")
 
 
 def removals(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """Key of each document with boilerplate lines, their hashes and the words under them."""
-    at = F.posexplode(
-        F.transform(
-            _lines(F.col("body")),
-            lambda line: F.struct(
-                _line_hash(line).alias("line"), F.size(blank_words(line)).cast("long").alias("words")
-            ),
-        )
-    )
-    held = _keyed(docs).select(*KEY, at.alias("place", "at"))
+    held = line_table(docs)
     return (
-        held.select(*KEY, "place", "at.line", "at.words")
-        .join(boilerplate(docs, rules), ["host", "line"])
+        held.join(boilerplate(held, rules), ["host", "line"])
         .dropDuplicates([*KEY, "place"])  # of rows that are repeated whole
         .groupBy(*KEY)
         .agg(F.sum("words").alias("n_removed_words"), F.collect_set("line").alias("removed_lines"))
@@ -203,7 +197,12 @@ def assess(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
 
 def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """Documents the rules keep, without their host's boilerplate lines; the columns stay as they are."""
+    """Documents the rules keep, without their host's boilerplate lines; the columns stay as they are, whatever others there are.
+
+    A null or empty text is rejected (no ten words); a null source is one host of its own; ``n_chars`` is counted anew where a
+    line went. Rows that are repeated whole share a verdict and all stay or go. Very long texts are texts like others. Without
+    rows the result is empty.
+    """
     verdicts = (
         assess(docs, rules).where("kept").select(*KEY, "removed_lines").dropDuplicates(list(KEY))
     )

@@ -185,10 +185,11 @@ lines AS (
 ),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
 held AS (
-    SELECT host, normal, count(DISTINCT t) AS n FROM lines JOIN body USING (doc_id) GROUP BY ALL
+    SELECT host, normal, max(words) AS words, count(DISTINCT t) AS n FROM lines JOIN body USING (doc_id) GROUP BY host, normal
+),
+boiler AS (
+    SELECT host, normal FROM held WHERE n >= CASE WHEN words >= 20 THEN 20 WHEN words >= 5 THEN 50 ELSE 1000 END
 ),
-hosts AS (SELECT host, count(DISTINCT t) AS n FROM body GROUP BY host),
-boiler AS (SELECT host, normal FROM held JOIN hosts USING (host) WHERE held.n >= 20 AND held.n > 0.2 * hosts.n),
 gone AS (
     SELECT doc_id, sum(words) AS n FROM lines JOIN body USING (doc_id) JOIN boiler USING (host, normal) GROUP BY doc_id
 ),

@@ -108,7 +108,7 @@ def hosts(spark):
 
 def test_lines_of_many_documents_go_and_depleted_documents_with_them(spark):
     docs, rows = hosts(spark)
-    rules = quality.LineRules(min_documents=20, max_share=0.2)
+    rules = quality.LineRules(limits=((0, 20),))
     got = {r.doc_id: r for r in quality.assess(docs, rules).collect()}
     # Digits are normalised, so the ten letters are one line; copies of one text are one document.
     assert all(got[k].n_removed_words == 6 and got[k].kept for k in range(30))
@@ -118,6 +118,19 @@ def test_lines_of_many_documents_go_and_depleted_documents_with_them(spark):
     assert cleaned[3] == rows[3][1].split("\n")[1] and cleaned[200] == rows[0][1] and 100 not in cleaned
 
 
+def test_limits_are_numbers_of_documents_and_not_shares_of_a_host(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"passage{k}" for k in range(60))
+    rows = []
+    for k in range(3000):
+        own = " ".join(f"w{rng.randrange(90_000)}" for _ in range(15))
+        short = "Thank you." if k % 4 == 0 else f"See {own[:20]}"  # 750 texts: below the limit of short lines
+        rows.append((k, f"{own}\n{short}" + (f"\n{passage}" if k < 50 else ""), "big"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_removed_words for r in quality.assess(docs).collect()}
+    assert all(got[k] == (60 if k < 50 else 0) for k in got)
+
+
 def test_cleaning_keeps_columns_and_repeated_rows(edge_docs, no_docs):
     kept = quality.clean(edge_docs)
     assert kept.columns == edge_docs.columns and kept.schema == edge_docs.schema
