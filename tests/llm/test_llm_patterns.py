@@ -123,7 +123,7 @@ def test_limits_are_numbers_of_documents_and_not_shares_of_a_host(spark):
     passage = " ".join(f"passage{k}" for k in range(60))
     rows = []
     for k in range(3000):
-        own = " ".join(f"w{rng.randrange(90_000)}" for _ in range(15))
+        own = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(15))
         short = "Thank you." if k % 4 == 0 else f"See {own[:20]}"  # 750 texts: below the limit of short lines
         rows.append((k, f"{own}\n{short}" + (f"\n{passage}" if k < 50 else ""), "big"))
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
