@@ -139,7 +139,7 @@ def _new_dir(spark: SparkSession, what: str) -> str:
 # --- Sources and sinks ----------------------------------------------------------------------
 
 
-def _streamed(spark: SparkSession, sf_dir: str) -> job.Store:
+def _streamed(spark: SparkSession, sf_dir: str, mode: str = "exact") -> job.Store:
     """The stream job run to the end over the derived log."""
 
     def run() -> job.Store:
@@ -147,11 +147,11 @@ def _streamed(spark: SparkSession, sf_dir: str) -> job.Store:
         sample.raw_messages(spark, sf_dir).write.parquet(f"{root}/raw")
         store = job.Store(root)
         raw = raw_topic.read_raw_stream(spark, path=f"{root}/raw", file_format="parquet")
-        query = job.start_stream(raw, store, dedup="exact", available_now=True)
+        query = job.start_stream(raw, store, dedup=mode, available_now=True)
         query.awaitTermination()
         return store
 
-    return _once(spark, sf_dir, "stream", run)
+    return _once(spark, sf_dir, f"stream-{mode}", run)
 
 
 LOG = f"""
@@ -215,8 +215,8 @@ STORED_COLUMNS = [
            ts AS timestamp, kafka_partition, kafka_offset, strftime(ts, '%Y%m') AS month
     FROM log WHERE reason IS NULL AND copy = 0""",
 )
-def events_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = event_table.scan_events(spark, _streamed(spark, sf_dir).events)
+def events_sink(spark: SparkSession, sf_dir: str, mode: str = "exact") -> DataFrame:
+    stored = event_table.scan_events(spark, _streamed(spark, sf_dir, mode).events)
     return stored.select(*STORED_COLUMNS, "month")
 
 
@@ -229,8 +229,8 @@ def events_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
                 WHEN reason = 'not_an_object' THEN '[1, 2, 3]' END AS original
     FROM log WHERE reason IS NOT NULL""",
 )
-def dead_letter_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = job.stored_letters(spark, _streamed(spark, sf_dir))
+def dead_letter_sink(spark: SparkSession, sf_dir: str, mode: str = "exact") -> DataFrame:
+    letters = job.stored_letters(spark, _streamed(spark, sf_dir, mode))
     shown = F.col("reason").isin("invalid_json", "not_an_object")
     return letters.select(
         "reason",
@@ -785,8 +785,8 @@ def links_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT project_uuid AS project_id, event, count(*) AS rows, count(DISTINCT distinct_id) AS ids,
            CAST(sum(k) AS BIGINT) AS k FROM kept GROUP BY ALL""",
 )
-def stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = event_table.scan_events(spark, _streamed(spark, sf_dir).events)
+def stream_job(spark: SparkSession, sf_dir: str, mode: str = "exact") -> DataFrame:
+    stored = event_table.scan_events(spark, _streamed(spark, sf_dir, mode).events)
     k = F.from_json("properties", "k bigint").getField("k")
     return stored.groupBy("project_id", "event").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -800,8 +800,8 @@ def stream_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     LOG + """ SELECT project_uuid AS project_id, anonymous_id, user_id, min(ts) AS linked_at FROM log
     WHERE reason IS NULL AND copy = 0 AND anonymous_id IS NOT NULL AND user_id IS NOT NULL GROUP BY ALL""",
 )
-def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.merge_links(job.stored_links(spark, _streamed(spark, sf_dir)))
+def stream_links(spark: SparkSession, sf_dir: str, mode: str = "exact") -> DataFrame:
+    return identity.merge_links(job.stored_links(spark, _streamed(spark, sf_dir, mode)))
 
 
 @register(
@@ -810,12 +810,23 @@ def stream_links(spark: SparkSession, sf_dir: str) -> DataFrame:
              count(*) FILTER (reason IS NULL AND copy = 1) AS duplicates,
              count(reason) AS dead_lettered FROM log""",
 )
-def batch_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = job.batch_report(spark, _streamed(spark, sf_dir))
+def batch_report(spark: SparkSession, sf_dir: str, mode: str = "exact") -> DataFrame:
+    report = job.batch_report(spark, _streamed(spark, sf_dir, mode))
     names = ("consumed", "inserted", "duplicates", "dead_lettered")
     return report.agg(*(F.sum(name).alias(name) for name in names))
 
 
+# The same with the ids in keyed state that forgets them after the window.
+for _name, _query in {
+    "s2_events_sink": events_sink,
+    "s3_dead_letter_sink": dead_letter_sink,
+    "p9_stream_job": stream_job,
+    "p9_stream_links": stream_links,
+    "p10_batch_report": batch_report,
+}.items():
+    register(f"{_name}_ttl", ORACLES[_name])(functools.partial(_query, mode="ttl"))
+
+
 @register(
     "p11_backlog",
     EV + """, log AS (SELECT CAST(id % 6 AS INTEGER) AS partition, id // 6 AS "offset", ingested_at
