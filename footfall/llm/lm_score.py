@@ -36,6 +36,9 @@ MAP_STEPS = 32
 CHUNK = 1 << 14
 #: A token or unit with at least this share of all occurrences is common: there are at most so many.
 COMMON = 500_000
+#: Units whose cost a worker remembers, and bytes of texts whose units are objects at once (one longer text is a slice).
+REMEMBERED = 200_000
+SLICE = 1 << 20
 _SALTS = mixed(np.arange(256, dtype=np.uint64) + np.uint64(1))
 _ROOT = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -106,6 +109,19 @@ def _chunks(units: list, size_of) -> Iterator[list]:
         yield units[first:]
 
 
+def _slices(texts: pa.Array) -> Iterator[list[bytes]]:
+    """Texts in runs of about SLICE bytes."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1])
+        if size >= SLICE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 @dataclass
 class Model:
     """Log-odds and levels by slot, mixer weights by gate, and the map's log-odds by (last byte, step)."""
@@ -334,17 +350,22 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = opened(shared)
         costs: dict[bytes, float] = {}
+        cut = new = fresh = None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            cut = [units_of(t) for t in texts]
-            new = list({u for units in cut for u in units}.difference(costs))
-            fresh = dict(zip(new, model.cost(new).tolist(), strict=True)) if new else {}
-            if len(costs) + len(fresh) > COMMON:
-                costs = {u: costs[u] for units in cut for u in units if u in costs}
-            costs.update(fresh)
-            bits = [sum(map(costs.__getitem__, units)) for units in cut]
+            bits, sizes = [], []
             n_tokens, n_known, sums, rare, times = [], [], [], [], []
-            for text in texts:
+            for texts in _slices(batch.column("text")):
+                cut = [units_of(t) for t in texts]
+                new = list({u for units in cut for u in units}.difference(costs))
+                fresh = dict(zip(new, model.cost(new).tolist(), strict=True)) if new else {}
+                if len(costs) + len(fresh) > REMEMBERED:
+                    costs = {u: costs[u] for units in cut for u in units if u in costs}
+                costs.update(fresh)
+                bits += [sum(map(costs.__getitem__, units)) for units in cut]
+                sizes += map(len, texts)
+            del cut, new, fresh
+            for scalar in batch.column("text"):
+                text = scalar.as_py()
                 counts: Counter = Counter()
                 for words in blank_tokens(text):
                     counts.update(words)
@@ -360,7 +381,7 @@ def score(docs: DataFrame) -> DataFrame:
                 [
                     batch.column("row"), batch.column("doc_id"), pa.array(n_tokens, pa.int64()),
                     pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(bits, pa.float64()),
-                    pa.array([len(t) for t in texts], pa.int64()),
+                    pa.array(sizes, pa.int64()),
                     pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
                 ],
                 names=["row", "doc_id", "n_tokens", "n_known", "sums", "bits", "n_bytes", "rare", "times"],
