@@ -20,9 +20,10 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from footfall.operators.dedup import drop_recently_stored, first_in_batch, remembered_ids
 from footfall.operators.identity import identity_links
 from footfall.plans import limits
-from footfall.schemas import DEAD_LETTERS, EVENTS, IDENTITY_LINKS
+from footfall.schemas import DEAD_LETTERS, EVENTS
 from footfall.session import DEFAULTS
 from footfall.sources.events import child_dirs, delete_dir, write_events
+from footfall.sources.links import compact_links, read_links
 from footfall.streaming.messages import dead_letters, event_rows, parse_messages
 from footfall.streaming.seen import flag_copies
 
@@ -243,6 +244,7 @@ def start_stream(
     available_now: bool = False,
     interval: str = "10 seconds",
     letter_sink: LetterSink | None = None,
+    links_every: int = 50,
 ) -> StreamingQuery:
     """Start (or, with the same store, resume) the ingest stream.
 
@@ -253,6 +255,8 @@ def start_stream(
     with the window. ``dedup="state"`` needs no Python either and costs what the new rows cost, but it
     keeps any copy of a micro-batch and remembers an id for up to twice the window; the rows it
     drops are kept in the progress table of the store.
+
+    Every ``links_every`` micro-batches the links found since are merged into the buckets of the link table.
     """
     if dedup not in ("ttl", "state", "exact"):
         raise ValueError(f"unknown dedup '{dedup}'")
@@ -262,9 +266,13 @@ def start_stream(
     elif dedup == "state":
         parsed = drop_seen_ids(parsed, window)
     exact = window if dedup == "exact" else None
-    writer = parsed.writeStream.foreachBatch(
-        lambda batch, batch_id: store_batch(batch, batch_id, store, exact, letter_sink)
-    ).option("checkpointLocation", store.checkpoint)
+
+    def store_and_tidy(batch: DataFrame, batch_id: int) -> None:
+        store_batch(batch, batch_id, store, exact, letter_sink)
+        if (batch_id + 1) % links_every == 0:
+            compact_links(batch.sparkSession, store.links, batch_id)
+
+    writer = parsed.writeStream.foreachBatch(store_and_tidy).option("checkpointLocation", store.checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     if dedup == "ttl":
         with _state_settings(raw.sparkSession):
@@ -293,8 +301,8 @@ def forget_ids(spark: SparkSession, store: Store, before: datetime) -> list[str]
 
 
 def stored_links(spark: SparkSession, store: Store) -> DataFrame:
-    """The links found so far, one part per micro-batch; read through ``merge_links``."""
-    return store.read(spark, store.links, IDENTITY_LINKS)
+    """The links found so far, each pair once."""
+    return read_links(spark, store.links)
 
 
 def stored_letters(spark: SparkSession, store: Store) -> DataFrame:
