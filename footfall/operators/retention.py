@@ -90,9 +90,19 @@ def cohort_sizes(
     links: DataFrame | None = None,
     dedup: Dedup = True,
 ) -> DataFrame:
-    """``cohort, size``: persons by the period of their first start event in the range."""
-    cells = _cells(events, project_id, query, links, dedup).filter("offset = -1")
-    return cells.select("cohort", F.col("users").alias("size"))
+    """``cohort, size``: persons by the period of their first start event in the range.
+
+    Reads start events of the range only; what came after them does not matter here.
+    """
+    length = _DAYS[query.period]
+    origin = _first_period(query)
+    rows = current_rows(events, project_id, query.start, query.end, {query.start_event}, dedup)
+    days = F.datediff(F.to_date("timestamp"), F.lit(origin.date()))
+    rows = rows.withColumn("cohort", F.floor(days / length).cast("int"))
+    first = first_links(link_rows(events) if links is None else links, project_id)
+    persons = by_person(rows, first, [], {"cohort": F.min})
+    sizes = persons.groupBy("cohort").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.withColumn("cohort", F.date_add(F.lit(origin.date()), F.col("cohort") * length))
 
 
 def retention(

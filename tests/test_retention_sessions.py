@@ -133,3 +133,18 @@ def test_sessions_against_walking_through_the_events(table, limit):
         "person_id", "unix_micros(started) / 1e6", "events"
     )
     assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_cohort_sizes_read_start_events_of_the_range_alone(table):
+    rng = random.Random(21)
+    rows = [
+        row(rng.choice(["joined", "read", "read"]), f"u{rng.randrange(30)}", at(rng.randrange(40), rng.randrange(24))) for _ in range(400)
+    ]
+    events = table(rows + rows[:50])
+    for start_event in ("joined", "read"):
+        query = RetentionQuery(start_event=start_event, return_event="read", periods=3, start=at(0, 5), end=at(20, 7))
+        sizes = {(r["cohort"], r["size"]) for r in cohort_sizes(events, PROJECT, query).collect()}
+        cells = retention(events, PROJECT, query).filter("offset = 0").collect()
+        assert sizes == {(r["cohort"], r["size"]) for r in cells}
+    plan = cohort_sizes(events, PROJECT, query)._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftleft" not in plan
