@@ -8,7 +8,6 @@ supersedes stays until the merge after it, for readers that began before.
 
 from __future__ import annotations
 
-import json
 import uuid
 from dataclasses import dataclass, field
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from footfall.operators.identity import merge_links
 from footfall.schemas import IDENTITY_LINKS
 from footfall.sources.events import child_dirs, delete_dir
+from footfall.sources.manifests import load, manifests, publish
 
 BUCKETS = 64
 
@@ -35,42 +35,15 @@ def _folder(path: str) -> str:
     return f"{path}-merged"
 
 
-def _manifests(spark: SparkSession, path: str) -> dict[int, str]:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(_folder(path))
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return {}
-    names = [status.getPath() for status in fs.listStatus(folder)]
-    return {
-        int(p.getName()[len("manifest-") : -len(".json")]): p.toString()
-        for p in names
-        if p.getName().startswith("manifest-") and p.getName().endswith(".json")
-    }
-
-
-def _load(spark: SparkSession, number: int, file: str) -> Manifest:
-    text = spark.read.text(file, wholetext=True).first()[0]
-    return Manifest(number, **json.loads(text))
-
-
 def latest(spark: SparkSession, path: str) -> Manifest:
-    found = _manifests(spark, path)
-    return _load(spark, max(found), found[max(found)]) if found else Manifest()
+    found = manifests(spark, _folder(path))
+    return Manifest(max(found), **load(spark, [found[max(found)]])[0]) if found else Manifest()
 
 
 def _publish(spark: SparkSession, path: str, manifest: Manifest) -> bool:
     """Whether this manifest took its number; another merge may have been first."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(_folder(path))
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    draft = spark._jvm.org.apache.hadoop.fs.Path(root, f"_draft-{uuid.uuid4().hex}")
-    final = spark._jvm.org.apache.hadoop.fs.Path(root, f"manifest-{manifest.number}.json")
-    out = fs.create(draft, False)
-    out.write(bytearray(json.dumps({"through": manifest.through, "buckets": manifest.buckets}).encode()))
-    out.close()
-    if fs.exists(final) or not fs.rename(draft, final):
-        fs.delete(draft, False)
-        return False
-    return True
+    content = {"through": manifest.through, "buckets": manifest.buckets}
+    return publish(spark, _folder(path), manifest.number, content)
 
 
 def _parts(spark: SparkSession, path: str, after: int, through: int | None = None) -> dict[int, str]:
@@ -124,7 +97,7 @@ def _forget(spark: SparkSession, path: str, before: Manifest, now: Manifest) ->
     """Remove what neither the last two states nor their readers need."""
     for directory in _parts(spark, path, -1, before.through).values():
         delete_dir(spark, directory)
-    for number, file in _manifests(spark, path).items():
+    for number, file in manifests(spark, _folder(path)).items():
         if number < before.number:
             delete_dir(spark, file)
     used = {*before.buckets.values(), *now.buckets.values()}
