@@ -42,6 +42,7 @@ from footfall.plans.requests import (
 )
 from footfall.session import shared_dir
 from footfall.sources import events as event_table
+from footfall.sources import links as link_table
 from footfall.sources import generate, raw_topic, sample
 from footfall.streaming import job
 from footfall.streaming.messages import dead_letters, event_rows, parse_messages
@@ -1346,6 +1347,119 @@ def link_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.list_links(identity.identity_links(sample.events(spark, sf_dir)), P0)
 
 
+# --- The same queries over stored tables --------------------------------------------------------
+
+
+def _store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Compacted events with their settled months, and links merged into buckets with one part since."""
+
+    def write() -> str:
+        path = _new_dir(spark, "stored")
+        rows = sample.events(spark, sf_dir)
+        event_table.write_events(rows, f"{path}/events", 0)
+        found = identity.identity_links(rows)
+        part = F.pmod(F.xxhash64("anonymous_id", "user_id"), F.lit(3))
+        for batch in range(3):
+            found.where(part == batch).write.parquet(f"{path}/links/batch_id={batch}")
+        for month in event_table.months(spark, f"{path}/events"):
+            event_table.compact_month(spark, f"{path}/events", month, file_bytes=1 << 20)
+        link_table.compact_links(spark, f"{path}/links", committed=1)
+        return path
+
+    path = _once(spark, sf_dir, "stored", write)
+    events, settled = event_table.open_events(spark, f"{path}/events")
+    return events, link_table.read_links(spark, f"{path}/links"), settled
+
+
+def _register_stored() -> None:
+    """Each entry answers the query of the same name from the store: settled months skip the dedup, links are not derived."""
+    persons = SegmentationQuery(event="view", measure="unique_users", interval="week", **RANGE)
+    series = SegmentationQuery(
+        event="view", measure="unique_users", breakdown="plan", interval="week", breakdown_limit=2, **RANGE
+    )
+    total = SegmentationQuery(event="purchase", filters=[PropertyFilter("value", "gt", 20)], **RANGE)
+    plain = SegmentationQuery(event="click", breakdown="plan", **RANGE)
+    top = SegmentationQuery(event="view", breakdown="k", interval="week", **RANGE)
+
+    def found(events: DataFrame, *rest) -> DataFrame:
+        return sessions.session_buckets(sessions.sessionize(events, *rest), SESSIONS.interval)
+
+    def folded(events: DataFrame, *rest) -> DataFrame:
+        return segmentation.fold_tail(segmentation.segment_counts(events, *rest), top.breakdown_limit)
+
+    cases = {
+        "a1_segmentation_total": (segmentation.segmentation, total),
+        "a2_segmentation_persons": (segmentation.segment_counts, persons),
+        "a3_breakdown": (segmentation.segment_counts, plain),
+        "a4_top_segments": (folded, top),
+        "a5_segmentation_series": (segmentation.segmentation, series),
+        "a6_funnel_levels": (funnel.funnel_levels, FUNNEL),
+        "a7_funnel": (funnel.funnel, FUNNEL),
+        "a8_retention_matrix": (retention.retention_matrix, DAILY),
+        "a9_cohort_sizes": (retention.cohort_sizes, WEEKLY),
+        "a10_retention": (retention.retention, WEEKLY),
+        "a11_sessionize": (sessions.sessionize, SESSIONS),
+        "a12_session_buckets": (found, SESSIONS),
+        "a13_session_report": (sessions.session_report, SESSIONS),
+        "a14_session_totals": (sessions.session_totals, SESSIONS),
+    }
+
+    def query(operator, request) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            events, links, settled = _store(spark, sf_dir)
+            return operator(events, P0, request, links, settled)
+
+        return run
+
+    for name, (operator, request) in cases.items():
+        register(f"{name}_stored", ORACLES[name])(query(operator, request))
+    # The two listings count every stored copy, so they read the table before compaction.
+    for name, operator in (("a15_event_names", listings.event_names), ("a16_violation_counts", listings.violation_counts)):
+
+        def listed(spark: SparkSession, sf_dir: str, operator=operator) -> DataFrame:
+            return operator(event_table.scan_events(spark, _events_table(spark, sf_dir)), P0, LISTING)
+
+        register(f"{name}_stored", ORACLES[name])(listed)
+
+
+_register_stored()
+
+
+@register("a17_event_summary_stored", ORACLES["a17_event_summary"])
+def event_summary_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.event_summary(_store(spark, sf_dir)[0])
+
+
+@register("a18_link_listing_stored", ORACLES["a18_link_listing"])
+def link_listing_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.list_links(_store(spark, sf_dir)[1], P0)
+
+
+@register(
+    "s5_zone_scan",
+    EV + """ SELECT event_id, event, ts AS timestamp FROM cur WHERE project_id = 'p0'
+            AND event IN ('click', 'purchase') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-09'""",
+)
+def zone_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compacted month with two micro-batches since, one of them with a zone map: only files that can match are read."""
+
+    def write() -> str:
+        path = _new_dir(spark, "zones")
+        rows = sample.events(spark, sf_dir)
+        event_table.write_events(rows, path, 0)
+        for month in event_table.months(spark, path):
+            event_table.compact_month(spark, path, month, file_bytes=1 << 20)
+        for batch in (1, 2):  # copies, as a retry leaves them
+            event_table.write_events(rows.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == batch), path, batch)
+        for month in event_table.months(spark, path):
+            event_table.index_month(spark, path, month, committed=1)
+        return path
+
+    limits = (day(5), day(9), ["click", "purchase"])
+    rows = event_table.scan_events(spark, _once(spark, sf_dir, "zones", write), P0, *limits)
+    return scope.current_rows(rows, P0, *limits).select("event_id", "event", "timestamp")
+
+
 # --- Tracking plans ---------------------------------------------------------------------------
 
 PLANNERS = """
