@@ -920,7 +920,7 @@ def base_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sample.events(spark, sf_dir)
     first = identity.first_links(identity.link_rows(rows))
-    resolved = identity.with_person(dedup.latest_rows(rows), first)
+    resolved = identity.with_person(dedup.latest_rows(rows), first, split_hot=True)
     return resolved.select("project_id", "event_id", "timestamp", "person_id")
 
 

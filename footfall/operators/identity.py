@@ -63,25 +63,33 @@ def _aggregate(
     return rows.groupBy(*keys).agg(*(fn(name).alias(name) for name, fn in measures.items()))
 
 
-def with_person(rows: DataFrame, first: DataFrame) -> DataFrame:
+def with_person(rows: DataFrame, first: DataFrame, split_hot: bool = False) -> DataFrame:
     """Add ``person_id``: the user id, else the user first linked to the anonymous id, else
     the distinct id. Two users never become one person.
 
     Only rows without a user can match a link. Identified rows carry their user id as join
     key, so a shuffle join spreads them by user and not all onto the NULL key.
+
+    ``split_hot`` is for rows that are not aggregated before: one anonymous id may then have most of them. Adaptive
+    execution cuts a skewed partition only where both sides of the join come straight from a shuffle; the links are the
+    result of an aggregate, whose partitioning the join would take over. A hash of the id as one more key makes the join
+    shuffle the (narrow) links once more, and the rows of a hot id spread over tasks.
     """
     linked = first.select(
         F.col("project_id").alias("_project"), F.col("anonymous_id").alias("_anon"), "linked_user"
     )
     identified = F.col("user_id").isNotNull()
     key = F.when(identified, F.col("user_id")).otherwise(F.col("anonymous_id"))
-    joined = rows.withColumn("_key", key).join(
-        linked,
-        (F.col("project_id") == F.col("_project")) & (F.col("_key") == F.col("_anon")) & ~identified,
-        "left",
-    )
+    rows = rows.withColumn("_key", key)
+    same = (F.col("project_id") == F.col("_project")) & (F.col("_key") == F.col("_anon")) & ~identified
+    helpers = ["_project", "_anon", "_key", "linked_user"]
+    if split_hot:
+        rows = rows.withColumn("_hash", F.xxhash64("_key"))
+        linked = linked.withColumn("_anon_hash", F.xxhash64("_anon"))
+        same &= F.col("_hash") == F.col("_anon_hash")
+        helpers += ["_hash", "_anon_hash"]
     person = F.coalesce("user_id", "linked_user", "distinct_id")
-    return joined.withColumn("person_id", person).drop("_project", "_anon", "_key", "linked_user")
+    return rows.join(linked, same, "left").withColumn("person_id", person).drop(*helpers)
 
 
 def resolve(

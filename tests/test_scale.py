@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from datetime import timedelta
 
 import pytest
@@ -120,3 +121,40 @@ def test_user_ids_are_not_matched_as_anonymous_ids(spark, table, broadcast):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert sorted(r["person_id"] for r in people) == ["kiosk", "owner"]
+
+
+def test_rows_of_a_hot_device_spread_over_tasks(spark, no_broadcast):
+    """One device has 75 % of the rows, and the links come from an aggregate."""
+    small = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        n = F.col("id")
+        device = F.when(n % 4 < 3, F.lit("kiosk")).otherwise(F.concat(F.lit("device-"), n.cast("string")))
+        rows = spark.range(0, 80_000, 1, 40).select(
+            F.lit(PROJECT).alias("project_id"), F.lit(None).cast("string").alias("user_id"),
+            device.alias("anonymous_id"), device.alias("distinct_id"), F.sha2(n.cast("string"), 256).alias("event_id"),
+        )
+        links = spark.range(0, 20_000).select(
+            F.lit(PROJECT).alias("project_id"),
+            F.when(n == 0, F.lit("kiosk")).otherwise(F.concat(F.lit("device-"), (n * 4 - 1).cast("string"))).alias("anonymous_id"),
+            F.concat(F.lit("user-"), n.cast("string")).alias("user_id"),
+            F.timestamp_seconds(n).alias("linked_at"),
+        )
+        found = identity.with_person(rows, identity.first_links(links), split_hot=True)
+        counted = found.select("person_id", "event_id", F.spark_partition_id().alias("task")).collect()
+        plain = identity.with_person(rows, identity.first_links(links)).select("person_id", "event_id").collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert sorted((r.person_id, r.event_id) for r in counted) == sorted(map(tuple, plain))
+    sizes = sorted(Counter(r.task for r in counted).values())
+    assert sum(r.person_id == "user-0" for r in counted) == 60_000
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]
