@@ -91,22 +91,21 @@ def segmentation(
         points = fold_tail(counts, query.breakdown_limit)
     else:
         points = counts.withColumn("rank", F.lit(1))
-    # At most breakdown_limit + 1 series of at most 1,000 buckets from here on.
-    series = points.groupBy("rank", "segment").agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("points"),
-        F.sum("value").alias("total"),
-    )
-    blank = F.struct(
+    # A row without a bucket in the first series: it stands alone, with the least label, where nothing matches.
+    blank = events.sparkSession.range(0, 1, 1, 1).select(
         F.lit(1).alias("rank"),
         F.lit("").alias("segment"),
-        F.create_map().cast("map<timestamp,bigint>").alias("points"),
-        F.lit(0).cast("bigint").alias("total"),
+        F.lit(None).cast("timestamp").alias("bucket"),
+        F.lit(0).cast("bigint").alias("value"),
     )
-    every = F.collect_list(F.struct("rank", "segment", "points", "total"))
-    listed = series.agg(every.alias("series")).select(
-        F.inline(F.when(F.size("series") > 0, F.col("series")).otherwise(F.array(blank)))
+    point = F.when(F.col("bucket").isNotNull(), F.struct("bucket", "value"))
+    # A rank has one segment. At most breakdown_limit + 1 series of at most 1,000 buckets from here on.
+    series = points.unionByName(blank).groupBy("rank").agg(
+        F.max("segment").alias("segment"),
+        F.map_from_entries(F.collect_list(point)).alias("points"),
+        F.sum("value").alias("total"),
     )
-    dense = listed.withColumn("bucket", F.explode(bucket_starts(query.start, query.end, query.interval)))
+    dense = series.withColumn("bucket", F.explode(bucket_starts(query.start, query.end, query.interval)))
     return dense.select(
         "rank",
         F.col("segment") if query.breakdown else F.lit(None).cast("string").alias("segment"),
