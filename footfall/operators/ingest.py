@@ -120,8 +120,13 @@ def open_fields(rows: DataFrame, source: str, names: tuple[str, ...]) -> DataFra
     """For each named field of a JSON object column: ``_v_<name>`` (VARIANT), ``_k_<name>`` (JSON
     type) and ``_s_<name>`` (its text when a string). Computed once, however often used."""
     raw = Properties(names, source=source)
-    opened = rows.withColumn("_raw", raw.parsed())
-    opened = opened.withColumns({f"_v_{n}": F.col(f"_raw.p{i}") for i, n in enumerate(names)})
+    return typed_fields(rows.withColumn("_raw", raw.parsed()), names)
+
+
+def typed_fields(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The columns of ``open_fields`` from ``_raw``, a struct with a VARIANT for each name."""
+    fields = rows.schema["_raw"].dataType.fieldNames()
+    opened = rows.withColumns({f"_v_{n}": F.col(f"_raw.{f}") for n, f in zip(names, fields, strict=True)})
     return opened.withColumns({f"_k_{n}": json_type(F.col(f"_v_{n}")) for n in names}).withColumns({
         f"_s_{n}": F.when(
             F.col(f"_k_{n}") == "string", F.try_variant_get(f"_v_{n}", "$", "string")

@@ -16,8 +16,8 @@ from footfall.operators.ingest import (
     NOT_TIME,
     REQUIRED,
     client_time,
-    open_fields,
     time_error,
+    typed_fields,
 )
 
 FIELDS = (
@@ -63,28 +63,39 @@ def _field_error(name: str) -> Column:
     return missing.otherwise(wrong)
 
 
+def open_messages(messages: DataFrame) -> DataFrame:
+    """Adds ``_is_json``, ``_is_object`` and ``_raw`` (a VARIANT per field, in the order of FIELDS), from one parse.
+
+    Spark's parsers stop after the first value. The text is therefore parsed as the first element of a list whose second
+    is the hash of the text: a rest of any kind, even one that closes the list, keeps the hash from standing there, and
+    no text can hold its own hash.
+    """
+    body, seal = F.col("_body"), F.md5(F.col("value"))
+    rows = messages.withColumn("_body", F.col("value").cast("string")).withColumn(
+        "_sealed",
+        F.when(F.is_valid_utf8(body), F.try_parse_json(F.concat(F.lit("["), body, F.lit(',"'), seal, F.lit('"]')))),
+    )
+    fields = ", ".join(f"{name}: variant" for name in FIELDS)
+    return rows.withColumns({
+        "_is_json": F.coalesce(F.try_variant_get("_sealed", "$[1]", "string") == seal, F.lit(False)),
+        "_raw": F.try_variant_get("_sealed", "$[0]", f"struct<{fields}>"),
+    }).withColumn("_is_object", F.col("_raw").isNotNull())
+
+
 def parse_messages(messages: DataFrame) -> DataFrame:
     """Typed event columns, lineage, the original record, and ``reason``: NULL for a row, else
     the first that applies of invalid_json, not_an_object, unsupported_schema_version:<v> and
     invalid_message:<path>:<message>.
     """
-    body = F.col("_body")
-    # Spark's parsers stop after the first value; inside brackets a rest does not parse.
-    alone = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).isNotNull() & (
-        F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}"))).isNotNull()
-    )
-    rows = messages.withColumn("_body", F.col("value").cast("string")).withColumns({
-        "_is_json": F.coalesce(F.is_valid_utf8(body) & alone, F.lit(False)),
-        "_is_object": F.json_object_keys(body).isNotNull(),
-    })
-    opened = open_fields(rows, "_body", FIELDS)
+    rows = open_messages(messages)
+    opened = typed_fields(rows, FIELDS)
     opened = opened.withColumns(
         {name: canonical_uuid(F.col(f"_s_{name}")) for name in _UUIDS}
         | {
             name: client_time(F.col(f"_k_{name}"), F.col(f"_s_{name}"), F.col(f"_v_{name}"))
             for name in _TIMES
         }
-        | {"_list": F.from_json(F.to_json("_v_violations"), "array<variant>")}
+        | {"_list": F.try_variant_get("_v_violations", "$", "array<variant>")}
     )
     version = F.col("_v_schema_version")
     version_text = F.when(

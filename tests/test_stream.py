@@ -57,6 +57,15 @@ def records(spark, *values, start=0):
         (b"{broken json", "invalid_json"),
         (b'{"schema_version": 1} x', "invalid_json"),
         (b'{"schema_version": 1}],[{}', "invalid_json"),
+        (b'{"schema_version": 1}]', "invalid_json"),
+        (b'{"schema_version": 1}] rest', "invalid_json"),
+        (b'{"schema_version": 1},"x"', "invalid_json"),
+        (b'{"schema_version": 1},"x"] {', "invalid_json"),
+        (b'"open', "invalid_json"),
+        (b'"open\\', "invalid_json"),
+        (b"  ", "invalid_json"),
+        (b" {} \n", "unsupported_schema_version:None"),
+        (b'{"schema_version": 2, "schema_version": 3}', "unsupported_schema_version:3"),
         (b"\xff\xfe", "invalid_json"),
         (b"", "invalid_json"),
         (b"[1, 2, 3]", "not_an_object"),
@@ -84,6 +93,12 @@ def test_parse_reasons(spark, value, reason):
     assert parse_messages(records(spark, value)).first()["reason"] == reason
 
 
+def test_a_message_is_parsed_once(spark):
+    plan = parse_messages(records(spark, message()))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson") == 1
+    assert not any(other in plan for other in ("from_json", "json_object_keys", "JsonToStructs", "StaticInvoke(JsonE"))
+
+
 def test_rows_carry_lineage_and_defaults(spark):
     body = message(event_id="0123456789ABCDEF0123456789ABCDEF", properties={"b": 1, "a": {"x": [1]}})
     [stored] = event_rows(parse_messages(records(spark, body, start=41))).collect()
