@@ -39,8 +39,8 @@ class ProjectAnalytics:
             *self._source, query, self.links, self.dedup, approximate
         )
 
-    def funnel(self, query: FunnelQuery) -> DataFrame:
-        return funnel.funnel(*self._source, query, self.links, self.dedup)
+    def funnel(self, query: FunnelQuery, stretch: int | None = None) -> DataFrame:
+        return funnel.funnel(*self._source, query, self.links, self.dedup, stretch)
 
     def retention(self, query: RetentionQuery) -> DataFrame:
         return retention.retention(*self._source, query, self.links, self.dedup)

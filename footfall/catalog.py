@@ -1181,6 +1181,11 @@ def funnel_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funnel.funnel_levels(sample.events(spark, sf_dir), P0, FUNNEL)
 
 
+@register("a6_funnel_levels_stretches", LEVELS_SQL + " SELECT person_id, level FROM levels")
+def funnel_levels_by_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.funnel_levels(sample.events(spark, sf_dir), P0, FUNNEL, stretch=funnel.DAY)
+
+
 @register(
     "a7_funnel",
     LEVELS_SQL + """,

@@ -120,6 +120,9 @@ def test_against_trying_every_entry(table):
                 for u, hs in hits.items()
             }
             assert got == {u: n for u, n in expected.items() if n}, (steps, window)
+            for stretch in (1, 7, 33, 500) if window == 20 else (13,):
+                cut = funnel_levels(events, PROJECT, query, stretch=stretch)
+                assert {r["person_id"]: r["level"] for r in cut.collect()} == got, (steps, window, stretch)
 
 
 def test_plan_combines_before_the_shuffle_and_sorts_once_per_person(spark, table):
@@ -132,3 +135,19 @@ def test_plan_combines_before_the_shuffle_and_sorts_once_per_person(spark, table
     main = plan.split("BroadcastExchange")[0]
     assert main.count("Exchange hashpartitioning(person_id") == 2
     assert main.count("Sort [person_id") == 1
+
+
+def test_a_busy_person_is_cut_into_stretches(spark, table):
+    """Three persons, one with most of the seconds: sorts and chains run by (person, stretch), a person meets as summaries."""
+    query = FunnelQuery(steps=[FunnelStep("a"), FunnelStep("b"), FunnelStep("c")], start=at(0), end=at(2), window_seconds=90)
+    rng = random.Random(3)
+    made = [row(rng.choice("abc"), "kiosk", at(0) + timedelta(seconds=60 * k)) for k in range(1500)]
+    made += [row("a", "ann", at(0)), row("b", "ann", at(0, 0.02)), row("c", "bo", at(1))]
+    events = table(made)
+    cut = funnel_levels(events, PROJECT, query, stretch=3600)
+    whole = funnel_levels(events, PROJECT, query)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
+    plan = funnel_levels(events, PROJECT, query, dedup=False, stretch=3600)._jdf.queryExecution().executedPlan()
+    windows = [line for line in plan.toString().splitlines() if "Window " in line]
+    assert windows and all(", [person_id" in line and "stretch" in line.split(", [person_id")[1] for line in windows)
+    assert sum("Sort [person_id" in line for line in plan.toString().splitlines()) == 1
