@@ -24,7 +24,8 @@ WORD_GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 class Template:
     """``text``: lower-cased words of a notice. ``phrases``: word runs it must hold, near where it is proposed.
 
-    ``exact``: all of the words must stand in a row; otherwise a share ``least`` of the rarity.
+    ``exact``: all of the words must stand in a row; otherwise a share ``least`` of the rarity. A word put in or left out
+    moves what follows off its places, so long notices ask for less than a half: either side of the gap suffices.
     """
 
     label: str
@@ -87,6 +88,38 @@ NOTICES = (
         "licensed under the gnu lesser general public license version",
         ("lesser general public license",),
     ),
+    Template(
+        "gpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general"
+        " public license as published by the free software foundation either version 3 of the license or at your"
+        " option any later version",
+        ("gnu general public license", "version 3"),
+        least=0.4,
+    ),
+    Template(
+        "gpl-2",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general"
+        " public license as published by the free software foundation either version 2 of the license or at your"
+        " option any later version",
+        ("gnu general public license", "version 2"),
+        least=0.4,
+    ),
+    Template(
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser"
+        " general public license as published by the free software foundation either version 2 1 of the license or"
+        " at your option any later version",
+        ("lesser general public license",),
+        least=0.4,
+    ),
+    Template(
+        "agpl-3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero"
+        " general public license as published by the free software foundation either version 3 of the license or"
+        " at your option any later version",
+        ("affero general public license",),
+        least=0.4,
+    ),
     Template(
         "mpl-2",
         "this source code form is subject to the terms of the mozilla public license v 2 0",
@@ -119,10 +152,11 @@ def rarity(docs: DataFrame, templates: Sequence[Template], text_col: str = "text
     """Inverse document frequency of each template word; as many numbers as the templates have words."""
     vocabulary = sorted({w for t in templates for w in t.words})
     words = F.filter(alnum_words(F.col(text_col)), lambda w: w.isin(vocabulary))
-    rows = docs.select(F.array_distinct(words).alias("words"))
-    counts = rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    total = docs.count()
-    found = {r.word: r.n for r in counts.collect()}  # one row for each template word at most
+    # The empty word, which no text holds, stands for the document itself: one scan gives all counts.
+    rows = docs.select(F.explode(F.concat(F.array_distinct(words), F.array(F.lit("")))).alias("word"))
+    counts = rows.groupBy("word").agg(F.count("*").alias("n"))
+    found = {r.word: r.n for r in counts.collect()}  # one row for each template word at most, and one
+    total = found.pop("", 0)
     return {w: math.log((total + 1) / (found.get(w, 0) + 1)) + 0.01 for w in vocabulary}
 
 

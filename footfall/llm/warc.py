@@ -32,6 +32,8 @@ BLOCK = 512
 FILE_BYTES = 1 << 30
 #: Captures in a shard, at most about.
 SHARD = 1_000_000
+#: Look-ups of a reading task.
+LOOKUPS = 20_000
 _CRLF = b"\r\n"
 
 
@@ -344,7 +346,9 @@ def read_captures(wanted: DataFrame, shards: DataFrame, root: str) -> DataFrame:
     asked = wanted.select(
         keys(F.coalesce(F.col("url").cast("string"), F.lit("")), F.col("page_id").cast("long")).alias("key")
     ).distinct()
-    spread = asked.repartitionByRange("key").sortWithinPartitions("key")
+    # Keys are short and a look-up is a read, so tasks are cut by their number, not by bytes.
+    tasks = wanted.count() // LOOKUPS + 1
+    spread = asked.repartitionByRange(tasks, "key").sortWithinPartitions("key")
     return spread.mapInArrow(
         read,
         "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean",

@@ -213,6 +213,41 @@ def test_segment_length_does_not_change_the_parse(spark, monkeypatch):
     assert len(wanted) == lines.count()
 
 
+def test_written_transcripts_equal_a_plain_rendering(spark, tmp_path, monkeypatch):
+    turns = spark.createDataFrame(chat_rows(), CHAT).repartition(3)
+    lines = chat.marked(chat.turn_lines(turns))
+    model = chat.fit(lines)
+
+    def order(r):
+        return r.conv_id, r.turn, r.role, r.tie, r.line
+
+    conversations = {}
+    seen = lines.withColumns({"features": chat.features(F.col("text")), "bare": chat.without_marker(F.col("text"))})
+    for r in sorted(seen.collect(), key=order):
+        conversations.setdefault(r.conv_id, []).append(r)
+    monkeypatch.setattr(chat, "SEGMENT", 3)
+    chat.write_transcripts(chat.parse(lines, model), str(tmp_path / "out"))
+    written = {}
+    for r in sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=order):
+        written[r.conv_id] = written.get(r.conv_id, "") + r.rendered
+    assert written.keys() == conversations.keys()
+    for conv_id, rows in conversations.items():
+        emit = [sum(model.emit[f][:, v] for f, v in enumerate(r.features)) for r in rows]
+        best, ways = model.first + emit[0], [[s] for s in range(chat.STATES)]
+        for e in emit[1:]:
+            reach = best[:, None] + model.move
+            ways = [[*ways[reach[:, s].argmax()], s] for s in range(chat.STATES)]
+            best = reach.max(axis=0) + e
+        states = ways[best.argmax()]
+        text = ""
+        for k, (r, state) in enumerate(zip(rows, states, strict=True)):
+            if state < len(chat.ROLES):
+                text += ("<|end|>\n" if k else "") + f"<|{chat.ROLES[state]}|>\n"
+            text += (r.bare if state < len(chat.ROLES) else r.text) + "\n"
+        assert written[conv_id] == text
+
+
+
 def test_roles_are_recovered_and_turns_rendered(spark):
     turns = spark.createDataFrame(chat_rows(80), CHAT)
     rows = chat.format_chats(turns).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -60,6 +61,62 @@ def test_license_notices_tolerate_gaps_but_need_their_phrases(spark):
     assert labels == {0: ["mit"], 1: [], 2: ["proprietary"], 3: ["gpl-3"]}
 
 
+def test_usual_licence_headers_are_found_with_words_put_in_or_left_out(spark):
+    gnu = (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public"
+        " License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    )
+    texts = [
+        gnu.format(3), gnu.format(2), gnu.format(3).replace("published", "once published"), gnu.format(2).replace("and/or modify it ", ""),
+        gnu.format(3).replace("General", "Affero General"), gnu.format("2.1").replace("General", "Lesser General").replace("program", "library"),
+        "This program is free software, and the Free Software Foundation once published a public license.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(100 + k, "a plain note on other things") for k in range(20)], "doc_id long, text string")
+    labels = {r.doc_id: sorted({n.label for n in r.notices}) for r in license_scan.scan(docs).collect()}
+    assert [labels[k] for k in range(7)] == [["gpl-3"], ["gpl-2"], ["gpl-3"], ["gpl-2"], ["agpl-3"], ["lgpl"], []]
+    assert not any(labels[100 + k] for k in range(20))
+
+
+def plain_notices(texts, templates):
+    """Every template at every place, scored by the definition."""
+    rows = [[w for w in re.split(r"[^0-9a-z\x80-\U0010ffff]+", t.lower()) if w] for t in texts]
+    vocabulary = {w for t in templates for w in t.words}
+    idf = {w: math.log((len(rows) + 1) / (sum(w in r for r in rows) + 1)) + 0.01 for w in vocabulary}
+    out = []
+    for words in rows:
+        found = set()
+        for t in templates:
+            size, total = len(t.words), sum(idf[w] for w in t.words)
+            rare = sorted(set(t.words), key=lambda w: (-idf[w], w))[: 1 if t.exact else license_scan.RARE]
+            for start in range(-size, len(words)):
+                agree = [w for k, w in enumerate(t.words) if 0 <= start + k < len(words) and words[start + k] == w]
+                low = max(start - license_scan.SLACK, 0)
+                near = f" {' '.join(words[low : max(start + size + license_scan.SLACK, 0)])} "
+                share = sum(idf[w] for w in agree) / total
+                held = len(agree) == size if t.exact else share >= t.least and all(f" {p} " in near for p in t.phrases)
+                if held and any(w in rare for w in agree):
+                    found.add((t.label, start, round(min(share, 1.0), 9)))
+        out.append(found)
+    return out
+
+
+def test_license_notices_equal_every_template_at_every_place(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(120):
+        words = []
+        for template in rng.sample(license_scan.NOTICES, rng.randint(0, 2)):
+            words += ["note"] * rng.randint(0, 15)
+            words += [w for w in template.words if rng.random() > rng.choice((0, 0.03, 0.1))]
+            words[rng.randrange(len(words) + 1) : 0] = ["indeed"] * rng.randint(0, 1)
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: {(n.label, n.start, round(n.share, 9)) for n in r.notices} for r in license_scan.scan(docs).collect()}
+    wanted = plain_notices(texts, license_scan.NOTICES)
+    assert sum(map(len, wanted)) > 80
+    assert [got[k] for k in range(len(texts))] == wanted
+
+
 def test_license_scan_uses_no_python_and_no_shuffle_of_documents(spark, edge_docs):
     plan = license_scan.scan(edge_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
