@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from footfall.llm.texts import alnum_tokens, bind, opened, share, text_bytes, windows
+from footfall.llm.texts import alnum_tokens, bind, opened, save, share, text_bytes, windows
 
 SHINGLE = 3
 #: Bytes of benchmark text in a block that is broadcast.
@@ -200,11 +200,12 @@ def _search(texts: DataFrame, index: Index) -> DataFrame:
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of about BLOCK_BYTES."""
-    items = benchmark.select(
+    """The items in blocks of about BLOCK_BYTES. Repeated rows of an item are one, so no block grows with their number."""
+    rows = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"),
     )
+    items = save(rows.distinct(), "items")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = size // BLOCK_BYTES + 1
     for block in range(count):

@@ -179,7 +179,11 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def scrub(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with personal data replaced in their texts; ``n_chars`` follows where there is one."""
+    """The documents with personal data replaced in their texts; ``n_chars`` follows where there is one.
+
+    Every row stays, with the columns of ``docs``, whatever others there are. A null text stays null with its ``n_chars``, an
+    empty one empty; repeated rows come out equal; very long texts are replaced whole. Without rows the result is empty.
+    """
     out = docs.withColumn(text_col, redacted(F.col(text_col)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.char_length(text_col).cast("long"), F.col("n_chars")))

@@ -384,7 +384,12 @@ def _described(member: bytes) -> dict:
 
 
 def archive_and_read(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes the pages into archives, indexes them, and reads every capture back through the index."""
+    """Writes the pages into archives, indexes them, and reads every capture back through the index.
+
+    A null html is an empty payload, a null or odd url a key of its own kind; a page without id keeps none. Rows that
+    repeat url and id are records of their own, all of them found by the one key; very long payloads are read whole, and a
+    table without pages gives no rows. Other columns are left aside.
+    """
     root = f"{shared_dir(pages.sparkSession)}/archive-{uuid.uuid4().hex}"
     shards = build_index(write_archives(pages, root, min_bytes), root)
     return read_captures(pages, shards, root)

@@ -398,3 +398,29 @@ def test_pipeline_stages_take_effect_in_order(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == kept[3] and {r["sample"] for r in out} == {0, 1}
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_pipeline_stages_on_odd_rows_and_on_none(spark, edge_docs, no_docs, edge_rows, tmp_path):
+    items = spark.createDataFrame([("i1", edge_rows[5][1])] * 3 + [("i2", None), (None, "")], "item_id string, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, edge_docs, str(tmp_path))
+        found[name] = [r.asDict() for r in out.collect()]
+        assert stage(spark, no_docs, str(tmp_path)).collect() == []
+        if name != "pieces":
+            assert out.columns == edge_docs.columns
+            assert all(r["kept"] == "x" and r["_hash"] == "x" for r in found[name])
+    ids = {name: Counter(r["doc_id"] for r in rows) for name, rows in found.items()}
+    before = Counter(r[0] for r in edge_rows)
+    assert not {0, 1, 2, 3, 4} & set(ids["quality_rules"])
+    # Ids 6, 7 and 14 are near the text of id 5, which stays with its repeated rows.
+    assert ids["near_duplicates"] == Counter({k: n for k, n in before.items() if k not in (6, 7, 14)})
+    # The item is the text of ids 5, 6 and 14, stands in most of 7, and in a row without id; id 5 has another text as well.
+    kept = {k: n for k, n in before.items() if k not in (6, 7, 14)} | {5: 1, None: 1}
+    assert ids["decontamination"] == Counter(kept)
+    assert ids["personal_data"] == before
+    texts = {r["doc_id"]: r["text"] for r in found["personal_data"]}
+    assert texts[0] is None and texts[1] == "" and "bob@" not in texts[13] and len({r["text"] for r in found["personal_data"] if r["doc_id"] == 5}) == 2
+    assert ids["pieces"].keys() == before.keys() and ids["pieces"][0] == ids["pieces"][1] == 1
+    assert ids["pieces"][9] == 2 and ids["pieces"][5] == 2 * before[5]
