@@ -6,6 +6,8 @@ ids, and the faults of client batches and log messages are too.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,22 @@ from footfall.schemas import EVENTS
 
 PROJECT = "p0"
 COPY_OFFSET = 1_000_000_000
+#: Rows of ``events`` a task makes texts from. A row has 10 to 20 bytes in Parquet and up to a thousand as a text, so
+#: a split of Parquet that is small to read is far too much for one task.
+TASK_ROWS = 50_000
+
 
+def _raw(spark: SparkSession, sf_dir: str, spread_by: dict[str, Column] | None = None) -> DataFrame:
+    """The events with one column for each thing that follows from the ids.
 
-def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    With ``spread_by`` the rows are dealt by these columns, which are kept, over one task for each ``TASK_ROWS`` rows (their
+    number is read from Parquet footers), while they are still as narrow as they are stored.
+    """
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    keys = spread_by or {}
+    if keys:
+        tasks = max(1, math.ceil(rows.count() / TASK_ROWS))
+        rows = rows.withColumns(keys).repartition(tasks, *keys)
     anonymous = F.when(
         F.expr("user_id % 3 <> 2"), F.concat(F.lit("anon-"), F.expr("cast(user_id div 2 as string)"))
     )
@@ -31,7 +45,7 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = F.expr("case event_id % 4 when 0 then 'free' when 1 then 'pro' when 2 then 'team' end")
     return rows.select(
         F.col("event_id").alias("id"),
-        F.when(F.expr("user_id % 10 = 9"), "p1").otherwise("p0").alias("project_id"),
+        _project().alias("project_id"),
         event_uuid(F.col("event_id")).alias("event_id"),
         F.col("event_type").alias("event"),
         F.when(~hidden, known).alias("user_id"),
@@ -45,9 +59,14 @@ def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("}"),
         ).alias("properties"),
         F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"),
+        *keys,
     )
 
 
+def _project() -> Column:
+    return F.when(F.expr("user_id % 10 = 9"), "p1").otherwise("p0")
+
+
 def event_uuid(number: Column) -> Column:
     """A UUID-shaped text holding the number."""
     low = F.lpad((number % 100_000_000).cast("string"), 8, "0")
@@ -98,9 +117,14 @@ def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     Two of three batches come from a clock two hours ahead; the others do not say when they
     were sent, and some of their events claim the next day.
     """
-    rows = _raw(spark, sf_dir)
-    number = F.expr("id div 25")
-    measured = F.expr("id div 25 % 3 <> 0")
+    batch = {
+        "project": project_uuid(_project()),
+        "number": F.concat(F.lit("b-"), F.expr("cast(event_id div 25 as string)")),
+        "measured": F.expr("event_id div 25 % 3 <> 0"),
+    }
+    # By batch, so that the rows need not be shuffled again as texts.
+    rows = _raw(spark, sf_dir, batch)
+    measured = F.col("measured")
     client = (
         F.when(F.expr("id % 7 = 0"), F.lit(None).cast("timestamp"))
         .when(measured, F.col("timestamp") + F.expr("interval 2 hours"))
@@ -137,20 +161,14 @@ def raw_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         member("propertes", F.when(typo, properties), quote=False),
     )
     item = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
-    items = rows.select(
-        project_uuid("project_id").alias("project_id"),
-        F.concat(F.lit("b-"), number.cast("string")).alias("number"),
-        measured.alias("measured"),
-        "timestamp",
-        F.struct("id", item.alias("item")).alias("item"),
-    )
-    gathered = items.groupBy("project_id", "number", "measured").agg(
+    items = rows.select(*batch, "timestamp", F.struct("id", item.alias("item")).alias("item"))
+    gathered = items.groupBy(*batch).agg(
         F.max("timestamp").alias("last"), F.sort_array(F.collect_list("item")).alias("items")
     )
     received = F.col("last") + F.expr("interval 5 seconds")
     return gathered.select(
-        F.concat_ws("/", F.substring("project_id", 36, 1), "number").alias("batch_id"),
-        "project_id",
+        F.concat_ws("/", F.substring("project", 36, 1), "number").alias("batch_id"),
+        F.col("project").alias("project_id"),
         received.alias("received_at"),
         F.lit("10.0.0.1").alias("ip"),
         F.when(F.col("measured"), received + F.expr("interval 2 hours")).alias("sent_at"),
@@ -201,7 +219,7 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log: a version 1 message per event, with poison by id, and every 50th message
     sent again (a client retry with a later time of receipt)."""
     copies = F.expr("case when id % 50 = 0 then array(0, 1) else array(0) end")
-    rows = _raw(spark, sf_dir).withColumn("copy", F.explode(copies))
+    rows = _raw(spark, sf_dir, {"number": F.col("event_id")}).withColumn("copy", F.explode(copies))
     moment = F.col("timestamp") + F.col("copy") * F.expr("interval 500 milliseconds")
     body = F.to_json(
         F.struct(
