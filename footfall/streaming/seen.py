@@ -1,8 +1,9 @@
 """Event ids the stream has seen, as keyed state with a time to live.
 
-Each id is a key of the state store, so a micro-batch costs what its own rows cost, however many ids the window
-holds. State expires exactly one window after an id was stored; copies don't extend it. Copies are not dropped but leave a count,
-so that the sink writes rows and counts of a micro-batch together.
+Ids are kept in buckets by their hash, and each bucket is a key of the state store: Python and the store talk once a bucket,
+not once an id. A micro-batch reads the ids of the buckets its own rows fall in. What it stored expires exactly one window
+later; copies don't extend it. Copies are not dropped but leave a count, so that the sink writes rows and counts of a
+micro-batch together.
 """
 
 from __future__ import annotations
@@ -19,67 +20,80 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 # Executors get the processor itself, not the name of a module they may not have.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Dead letters have no id; they pass in groups of their places in the log.
-_LETTERS = "letter/"
+#: Buckets of ids. A key costs milliseconds, a remembered id of its bucket 16 bytes; fixed for a checkpoint.
+BUCKETS = 1 << 14
+#: Dead letters have no id; they pass in groups of their places in the log, with numbers below zero.
 _LETTER_GROUPS = 1024
+_DIGEST = 16
 
 
 class SeenIds(StatefulProcessor):
-    """Passes the first row of an id in log order unless the id is remembered, and one row that counts the others.
+    """Passes the first row of each id of a bucket in log order unless the id is remembered, and one row that counts the others.
 
-    Rows of one id are streamed, one is held: an id with very many copies needs no memory.
+    Rows of a bucket are streamed, one is held for each new id: an id with very many copies needs no memory.
     """
 
-    def __init__(self, columns: list[str], ttl_ms: int):
-        self.out, self.ttl_ms = Row(*columns, "copies"), ttl_ms
-        self.nulls = [None] * len(columns)
+    def __init__(self, ttl_ms: int):
+        self.out, self.ttl_ms = Row("message", "copies"), ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "stored boolean", self.ttl_ms)
+        # What each micro-batch stored: digests one after the other. Expires as a whole.
+        self.stored = handle.getListState("stored", "digests binary", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if key[0].startswith(_LETTERS):
+        if key[0] < 0:
             for row in rows:
-                yield self.out(*row[1:], 0)
+                yield self.out(row["message"], 0)
             return
-        remembered = self.seen.exists()
-        first, place, copies = None, None, 0
+        remembered = set()
+        for (digests,) in self.stored.get():
+            packed = bytes(digests)
+            remembered.update(packed[i : i + _DIGEST] for i in range(0, len(packed), _DIGEST))
+        firsts, copies = {}, 0
         for row in rows:
-            here = (row["kafka_partition"], row["kafka_offset"])
-            if remembered or first is not None and here > place:
+            digest = bytes(row["digest"])
+            if digest in remembered:
                 copies += 1
-            else:
-                copies += first is not None
-                first, place = row, here
-        if first is not None:
-            self.seen.update((True,))
-            yield self.out(*first[1:], 0)
+                continue
+            here = (row["kafka_partition"], row["kafka_offset"])
+            held = firsts.get(digest)
+            copies += held is not None
+            if held is None or here <= held[0]:
+                firsts[digest] = (here, row["message"])
+        if firsts:
+            self.stored.appendValue((b"".join(firsts),))
+        for _, first in firsts.values():
+            yield self.out(first, 0)
         if copies:
-            yield self.out(*self.nulls, copies)
+            yield self.out(None, copies)
 
     def close(self) -> None:
         pass
 
 
-def flag_copies(parsed: DataFrame, window_ms: int) -> DataFrame:
-    """The parsed messages without copies, and rows of nulls whose ``copies`` says how many of an id were left out.
+def flag_copies(parsed: DataFrame, window_ms: int, buckets: int = BUCKETS) -> DataFrame:
+    """The parsed messages without copies, and rows of nulls whose ``copies`` says how many of a bucket were left out.
 
     An id is remembered for ``window_ms`` of processing time from the micro-batch that stored it. Needs the RocksDB state store.
     """
-    place = F.concat(
-        F.lit(_LETTERS), F.coalesce("topic", F.lit("")), F.lit("/"),
-        F.pmod(F.xxhash64("kafka_partition", "kafka_offset"), F.lit(_LETTER_GROUPS)),
-    )
-    identity = F.when(F.col("reason").isNull(), F.concat_ws("/", "project_id", "event_id"))
+    identity = F.concat_ws("/", "project_id", "event_id")
+    group = -1 - F.pmod(F.xxhash64("kafka_partition", "kafka_offset"), F.lit(_LETTER_GROUPS))
+    bucket = F.when(F.col("reason").isNull(), F.pmod(F.xxhash64(identity), F.lit(buckets))).otherwise(group)
+    # 128 bits tell ids apart.
+    digest = F.when(F.col("reason").isNull(), F.unhex(F.md5(identity)))
     times = [f.name for f in parsed.schema if isinstance(f.dataType, T.TimestampType)]
-    # Times cross to Python and back as numbers: no time zone and no rounding is involved.
-    rows = parsed.withColumns({name: F.unix_micros(name) for name in times})
-    rows = rows.select(F.coalesce(identity, place).alias("identity"), *parsed.columns)
-    output = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in rows.schema.fields[1:]] + [T.StructField("copies", T.LongType())]
+    # Python gets what it decides by, and the rest as one text. Times are numbers in it: no time zone and no rounding is involved.
+    plain = parsed.withColumns({name: F.unix_micros(name) for name in times})
+    rows = plain.select(
+        bucket.alias("bucket"),
+        digest.alias("digest"),
+        "kafka_partition",
+        "kafka_offset",
+        F.to_json(F.struct(*parsed.columns)).alias("message"),
     )
-    flagged = rows.groupBy("identity").transformWithState(
-        SeenIds(parsed.columns, window_ms), outputStructType=output, outputMode="Append", timeMode="ProcessingTime"
+    flagged = rows.groupBy("bucket").transformWithState(
+        SeenIds(window_ms), outputStructType="message string, copies bigint", outputMode="Append", timeMode="ProcessingTime"
     )
-    return flagged.withColumns({name: F.timestamp_micros(name) for name in times})
+    opened = flagged.select(F.inline(F.array(F.from_json("message", plain.schema))), "copies")
+    return opened.withColumns({name: F.timestamp_micros(name) for name in times})

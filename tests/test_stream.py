@@ -428,3 +428,29 @@ def test_scan_prunes_months_and_pushes_the_key(spark, table, tmp_path):
     assert all(name in pushed for name in ("project_id", "timestamp", "event"))
     assert "properties" not in pushed[pushed.index("ReadSchema") :]
     assert rows.count() == 1
+
+
+def test_ids_are_remembered_by_bucket_not_one_by_one(spark, tmp_path):
+    """300 ids in 5 buckets are a few entries of the state store, not 300, and the messages come back as they were."""
+    from footfall.streaming import seen
+
+    runner = Runner(spark, str(tmp_path), "ttl")
+    body = 'quote " backslash \\ newline \n snow ☃'
+    sent = [message(event=body if k % 2 else "", user_id=None) for k in range(300)]
+    runner.send(*sent, *sent[:50])
+    parsed = job.parse_messages(read_raw_stream(spark, path=f"{runner.root}/log"))
+    with job._state_settings(spark):
+        query = (
+            seen.flag_copies(parsed, 3_600_000, buckets=5)
+            .writeStream.format("memory").queryName("flagged")
+            .option("checkpointLocation", str(tmp_path / "flagged"))
+            .trigger(availableNow=True).start()
+        )
+    query.awaitTermination()
+    flagged = spark.table("flagged")
+    assert flagged.agg(F.sum("copies"), F.count_if(F.expr("copies = 0"))).first()[:] == (50, 300)
+    wanted = job.parse_messages(spark.read.schema(RAW_MESSAGES).json(f"{runner.root}/log"))
+    wanted = wanted.dropDuplicates(["event_id"]).drop("kafka_partition", "kafka_offset")
+    got = flagged.where("copies = 0").drop("copies", "kafka_partition", "kafka_offset")
+    assert got.exceptAll(wanted).isEmpty() and got.count() == wanted.count() == 300
+    assert query.lastProgress.stateOperators[0].numRowsTotal <= 50
