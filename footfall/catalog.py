@@ -279,7 +279,9 @@ DEMO_PROJECT = "demo"
 
 
 def _users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("n"))
+    """Spread while they are one number each: a user makes a dozen events."""
+    users = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("n"))
+    return users.repartition(sample.tasks_for(users), "n")
 
 
 def _hash_sql(seed: str, salt: str, size: int) -> str:

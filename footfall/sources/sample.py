@@ -17,22 +17,26 @@ from footfall.schemas import EVENTS
 
 PROJECT = "p0"
 COPY_OFFSET = 1_000_000_000
-#: Rows of ``events`` a task makes texts from. A row has 10 to 20 bytes in Parquet and up to a thousand as a text, so
+#: Rows of a table a task makes texts from. A row has 10 to 20 bytes in Parquet and up to a thousand as a text, so
 #: a split of Parquet that is small to read is far too much for one task.
 TASK_ROWS = 50_000
 
 
+def tasks_for(rows: DataFrame) -> int:
+    """One task for each ``TASK_ROWS`` rows of a table; their number is read from Parquet footers."""
+    return max(1, math.ceil(rows.count() / TASK_ROWS))
+
+
 def _raw(spark: SparkSession, sf_dir: str, spread_by: dict[str, Column] | None = None) -> DataFrame:
     """The events with one column for each thing that follows from the ids.
 
-    With ``spread_by`` the rows are dealt by these columns, which are kept, over one task for each ``TASK_ROWS`` rows (their
-    number is read from Parquet footers), while they are still as narrow as they are stored.
+    With ``spread_by`` the rows are dealt by these columns, which are kept, over one task for each ``TASK_ROWS`` rows, while they
+    are still as narrow as they are stored.
     """
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     keys = spread_by or {}
     if keys:
-        tasks = max(1, math.ceil(rows.count() / TASK_ROWS))
-        rows = rows.withColumns(keys).repartition(tasks, *keys)
+        rows = rows.withColumns(keys).repartition(tasks_for(rows), *keys)
     anonymous = F.when(
         F.expr("user_id % 3 <> 2"), F.concat(F.lit("anon-"), F.expr("cast(user_id div 2 as string)"))
     )

@@ -55,3 +55,11 @@ def test_items_of_a_frequent_event_meet_its_rules_in_many_tasks(spark, no_broadc
 def test_a_filter_on_errors_does_not_validate_again(spark):
     valid = validate(explode_batches(sample.raw_batches(spark, SF))).filter(F.size("errors") == 0)
     assert optimized(valid.select("index", "event_id")).count("from_json(") == 1
+
+
+def test_demo_users_are_spread(spark, monkeypatch):
+    from footfall import catalog
+
+    monkeypatch.setattr(sample, "TASK_ROWS", 20)
+    sizes = rows_by_task(catalog._users(spark, SF))
+    assert len(sizes) >= 4 and max(sizes) < 100 and sum(sizes) == 150
