@@ -221,29 +221,59 @@ def corrected_timestamp(
     return F.timestamp_micros(micros)
 
 
-#: Parts a project's items are spread over when they meet its defaults.
-PROJECT_SALTS = 32
+#: A busy project's items meet its rules in a part for each so many of its batches.
+PART_BATCHES = 4_000
+#: Projects looked at for that; each other one has less than this share of all batches.
+BUSY_PROJECTS = 500
 
 
-def check_plans(items: DataFrame, plans: DataFrame) -> DataFrame:
+def busy_projects(batches: DataFrame) -> DataFrame:
+    """``project_id, _parts`` of the projects with most batches, those that need more than one part.
+
+    Counts rows only, so the items are not made for it; ``BUSY_PROJECTS`` rows at most.
+    """
+    counted = batches.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / PART_BATCHES).cast("int").alias("_parts")
+    most = counted.orderBy(F.desc("n")).limit(BUSY_PROJECTS)
+    return most.select("project_id", parts).filter("_parts > 1")
+
+
+def _with_parts(rows: DataFrame, busy: DataFrame | None) -> DataFrame:
+    """Adds ``_parts``: how many parts the items of the row's project are spread over."""
+    if busy is None:
+        return rows.withColumn("_parts", F.lit(1))
+    return rows.join(F.broadcast(busy), "project_id", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+
+
+def rules_by_part(plans: DataFrame, busy: DataFrame | None) -> DataFrame:
+    """``project_id, _salt, plan``: the active plans, a copy for each part of a project."""
+    active = _with_parts(latest_plans(plans).select("project_id", "plan"), busy)
+    return active.select(
+        "project_id", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"), "plan"
+    )
+
+
+def check_plans(items: DataFrame, plans: DataFrame, busy: DataFrame | None = None) -> DataFrame:
     """Add ``violations`` and ``enforcement`` from the active plan of each project.
 
     An item meets the rules of its own event, by (project, event), never a whole plan. What
-    holds for all events of a project comes by a second join. Both are salted, so that the items of
-    a huge project, and of an event it sends most, are spread over ``PROJECT_SALTS`` tasks.
+    holds for all events of a project comes by a second join. Both are by part of a project too, so that the
+    items of a huge one (``busy_projects``), and of an event it sends most, are spread; the rules of
+    all others stay single, however many plans there are.
     """
-    active = latest_plans(plans).select("project_id", "plan")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(PROJECT_SALTS - 1))).alias("_salt")
+    active = rules_by_part(plans, busy)
     defaults = active.select(
         "project_id",
         F.col("plan.enforcement").alias("enforcement"),
         F.col("plan.allow_unplanned_events").alias("_open"),
-        salts,
+        "_salt",
     )
-    salt = F.pmod(F.xxhash64("batch_id", "index"), F.lit(PROJECT_SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("batch_id", "index"), "_parts").cast("int")
     joined = (
-        items.withColumn("_salt", salt)
-        .join(planned_events(active).select("*", salts), ["project_id", "event", "_salt"], "left")
+        _with_parts(items, busy)
+        .withColumn("_salt", salt)
+        .drop("_parts")
+        .join(planned_events(active, "_salt"), ["project_id", "event", "_salt"], "left")
         .join(defaults, ["project_id", "_salt"], "left")
     )
     properties = F.coalesce(
@@ -382,7 +412,7 @@ def ingest(
             "enforcement": F.lit(None).cast("string"),
         })
     else:
-        checked = check_plans(checked, plans)
+        checked = check_plans(checked, plans, busy_projects(batches))
     return Ingested(route(checked))
 
 

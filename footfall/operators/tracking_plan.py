@@ -135,9 +135,9 @@ def _label(value: Column) -> Column:
     return F.substring(_comparable(value), 2, 2_147_483_647)
 
 
-def planned_events(plans: DataFrame) -> DataFrame:
-    """``project_id, event, spec``: the rules of each planned event."""
-    return plans.select("project_id", F.explode("plan.events").alias("event", "spec"))
+def planned_events(plans: DataFrame, *kept: str) -> DataFrame:
+    """``project_id, event, spec``: the rules of each planned event, and the columns to be kept."""
+    return plans.select("project_id", *kept, F.explode("plan.events").alias("event", "spec"))
 
 
 def event_violations(event: Column, properties: Column, plan: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from footfall.operators import ingest as ingest_module
 from footfall.operators.ingest import ingest, validate, explode_batches
 from footfall.sources import sample
 
@@ -63,3 +64,18 @@ def test_demo_users_are_spread(spark, monkeypatch):
     monkeypatch.setattr(sample, "TASK_ROWS", 20)
     sizes = rows_by_task(catalog._users(spark, SF))
     assert len(sizes) >= 4 and max(sizes) < 100 and sum(sizes) == 150
+
+
+def test_rules_are_repeated_for_the_parts_of_busy_projects_alone(spark, monkeypatch):
+    batches, plans = sample.raw_batches(spark, SF), sample.tracking_plans(spark, SF)
+    projects = plans.select("project_id").distinct().count()
+    single = ingest(batches, plans).items
+    assert ingest_module.rules_by_part(plans, ingest_module.busy_projects(batches)).count() == projects
+    monkeypatch.setattr(ingest_module, "PART_BATCHES", 10)
+    busy = ingest_module.busy_projects(batches)
+    parts = {r["project_id"][-1]: r["_parts"] for r in busy.collect()}
+    assert len(parts) == 2 and min(parts.values()) > 1
+    assert ingest_module.rules_by_part(plans, busy).count() == projects - 2 + sum(parts.values())
+    compared = ["batch_id", "index", "outcome", "errors", "violations", "enforcement"]
+    spread = ingest(batches, plans).items
+    assert sorted(map(str, spread.select(compared).collect())) == sorted(map(str, single.select(compared).collect()))
