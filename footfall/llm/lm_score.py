@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ MAP_STEPS = 32
 CHUNK = 1 << 14
 #: A token or unit with at least this share of all occurrences is common: there are at most so many.
 COMMON = 500_000
-#: Units whose cost a worker remembers, and bytes of texts whose units are objects at once (one longer text is a slice).
-REMEMBERED = 200_000
+#: Frequent units, of at most so many bytes, have their costs computed once for all tasks: there are at most so many.
+FREQUENT, FREQUENT_BYTES = 200_000, 64
+#: Other units whose cost a worker remembers, and bytes of texts whose units are objects at once (one longer text is a slice).
+REMEMBERED = 100_000
 SLICE = 1 << 20
 _SALTS = mixed(np.arange(256, dtype=np.uint64) + np.uint64(1))
 _ROOT = np.uint64(0xD6E8FEB86659FD93)
@@ -59,8 +62,9 @@ def units_of(text: bytes) -> list[bytes]:
     return [*[u + b" " for u in units], last]
 
 
-def _bits(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all bits of the units in a row: slots (one row for each context), bits, and last bytes."""
+def _contexts(units: list[bytes]) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """For all bytes of the units in a row: the bytes, what each context holds before them, and a hash of the
+    unit up to and with the byte; and the units' lengths."""
     lengths = np.fromiter(map(len, units), np.int64, len(units))
     flat = np.frombuffer(b"".join(units), np.uint8)
     starts = np.cumsum(lengths) - lengths
@@ -79,8 +83,15 @@ def _bits(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     undo = np.cumprod(np.full(total, _INVERSE))
     sums = np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * powers)
     before = np.concatenate([[np.uint64(0)], sums[:-1]])
-    so_far = (before - np.repeat(before[starts], lengths)) * np.repeat(undo[starts], lengths)
+    earlier, undone = np.repeat(before[starts], lengths), np.repeat(undo[starts], lengths)
+    so_far = (before - earlier) * undone
     contexts = (one, one | (two << np.uint64(8)), one | (two << np.uint64(8)) | (three << np.uint64(16)), so_far)
+    return flat, contexts, (sums - earlier) * undone, lengths
+
+
+def _slots(flat: np.ndarray, contexts: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all bits of the bytes: slots (one row for each context), bits, and last bytes."""
+    total, one = len(flat), contexts[0]
     nodes = np.empty((total, 8), np.uint8)  # the byte's bits so far, with a leading one
     for k in range(8):
         nodes[:, k] = (flat >> (8 - k)) | (1 << k)
@@ -97,6 +108,12 @@ def _bits(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return slots, bits.ravel(), np.repeat(one.astype(np.int64), 8)
 
 
+def _bits(units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all bits of the units in a row: slots (one row for each context), bits, and last bytes."""
+    flat, contexts, _, _ = _contexts(units)
+    return _slots(flat, contexts)
+
+
 def _chunks(units: list, size_of) -> Iterator[list]:
     """Runs of units of about CHUNK bytes."""
     first = size = 0
@@ -132,24 +149,28 @@ class Model:
     refined: np.ndarray
 
     def cost(self, units: list[bytes]) -> np.ndarray:
-        """Bits of each unit."""
+        """Bits of each unit. What units of a chunk begin with alike is looked at once, so sorted ones cost least."""
         out = np.empty(len(units))
         done = 0
         for chunk in _chunks(units, len):
-            slots, bits, last = _bits(chunk)
+            flat, contexts, upto, lengths = _contexts(chunk)
+            _, first, at = np.unique(upto, return_index=True, return_inverse=True)
+            slots, bits, last = _slots(flat[first], tuple(c[first] for c in contexts))
             odds = _mixed(self.odds[slots], self.weights, _gates(self.level, slots))
             odds = _final(odds, self.refined, last)
-            bit_cost = np.log2(1 + np.exp(np.where(bits == 1, -odds, odds)))
-            lengths = np.fromiter(map(len, chunk), np.int64, len(chunk))
-            out[done : done + len(chunk)] = np.add.reduceat(bit_cost, 8 * (np.cumsum(lengths) - lengths))
+            parts = (1 + np.exp(np.where(bits == 1, -odds, odds))).reshape(-1, 8)  # each at most 1 + exp(14)
+            parts = parts[:, :4] * parts[:, 4:]
+            parts = parts[:, :2] * parts[:, 2:]
+            byte_cost = np.log2(parts[:, 0] * parts[:, 1])
+            out[done : done + len(chunk)] = np.add.reduceat(byte_cost[at], np.cumsum(lengths) - lengths)
             done += len(chunk)
         return out
 
 
 def _gates(level: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """Bit position, and how much the longest two contexts have seen."""
-    position = np.tile(np.arange(8) * LEVELS, slots.shape[1] // 8)
-    return (position + level.take(slots[2])) * LEVELS + level.take(slots[3])
+    position = np.arange(8) * LEVELS
+    return ((level.take(slots[2]).reshape(-1, 8) + position) * LEVELS + level.take(slots[3]).reshape(-1, 8)).ravel()
 
 
 def _mixed(inputs: np.ndarray, weights: np.ndarray, gates: np.ndarray) -> np.ndarray:
@@ -329,6 +350,31 @@ def train(units: DataFrame, zeros: np.ndarray, ones: np.ndarray, rate: float = 2
     return Model(_odds(ones, zeros), _level(zeros + ones), weights, refined)
 
 
+def frequent_costs(units: DataFrame, model: Model) -> dict[bytes, float]:
+    """Bits of the units that occur most, from a written table: nearly every task needs them."""
+    rank = F.floor(F.log2("n") * 8)  # counts in steps of a twelfth: at most 512 of them
+    short = units.where(F.octet_length("unit") <= FREQUENT_BYTES).withColumn("rank", rank)
+    least, held = None, 0
+    for row in sorted(short.groupBy("rank").count().collect(), key=lambda r: -r["rank"]):
+        held += row["count"]
+        if held > FREQUENT:
+            break
+        least = row["rank"]
+    if least is None:
+        return {}
+    shared = share(units.sparkSession, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = opened(shared)
+        for batch in batches:
+            found = sorted(batch.column("unit").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(model.cost(found))], names=["unit", "cost"])
+
+    table = short.where(F.col("rank") >= least).select("unit").mapInArrow(run, "unit binary, cost double").toArrow()
+    shared.destroy()
+    return dict(zip(table.column("unit").to_pylist(), table.column("cost").to_pylist(), strict=True))
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 
@@ -345,21 +391,23 @@ def score(docs: DataFrame) -> DataFrame:
     base = total + distinct + 1
     common = tokens.where(F.col("c") >= max(2, total / COMMON)).collect()  # COMMON rows at most
     model = train(units, *count_bits(units))
-    shared = share(docs.sparkSession, (model, {bytes(r.token): r.c for r in common}))
+    shared = share(docs.sparkSession, (model, {bytes(r.token): r.c for r in common}, frequent_costs(units, model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = opened(shared)
-        costs: dict[bytes, float] = {}
+        model, known, costs = opened(shared)
+        frequent = len(costs)  # these come first and stay
         cut = new = fresh = None
         for batch in batches:
             bits, sizes = [], []
             n_tokens, n_known, sums, rare, times = [], [], [], [], []
             for texts in _slices(batch.column("text")):
                 cut = [units_of(t) for t in texts]
-                new = list({u for units in cut for u in units}.difference(costs))
+                new = sorted({u for units in cut for u in units}.difference(costs))
                 fresh = dict(zip(new, model.cost(new).tolist(), strict=True)) if new else {}
-                if len(costs) + len(fresh) > REMEMBERED:
-                    costs = {u: costs[u] for units in cut for u in units if u in costs}
+                if len(costs) - frequent + len(fresh) > REMEMBERED:
+                    here = [(u, costs[u]) for u in {u for units in cut for u in units}.difference(fresh)]
+                    costs = dict(islice(costs.items(), frequent))
+                    costs.update(here)
                 costs.update(fresh)
                 bits += [sum(map(costs.__getitem__, units)) for units in cut]
                 sizes += map(len, texts)
@@ -369,14 +417,14 @@ def score(docs: DataFrame) -> DataFrame:
                 counts: Counter = Counter()
                 for words in blank_tokens(text):
                     counts.update(words)
-                c = np.array([known.get(w, 0) for w in counts], np.float64)
+                seen = [known.get(w, 0) for w in counts]
+                c = np.array(seen, np.float64)
                 tf = np.fromiter(counts.values(), np.int64, len(counts))
                 n_tokens.append(int(tf.sum()) + 1)
                 n_known.append(int(tf[c > 0].sum()))
                 sums.append(float((tf * np.log10(c + 1))[c > 0].sum()))
-                missing = [(w, n) for w, n in counts.items() if w not in known]
-                rare.append([w for w, _ in missing])
-                times.append([n for _, n in missing])
+                rare.append([w for w, k in zip(counts, seen, strict=True) if not k])
+                times.append([n for n, k in zip(counts.values(), seen, strict=True) if not k])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"), batch.column("doc_id"), pa.array(n_tokens, pa.int64()),

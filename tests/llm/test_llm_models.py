@@ -424,3 +424,28 @@ def test_pipeline_stages_on_odd_rows_and_on_none(spark, edge_docs, no_docs, edge
     assert texts[0] is None and texts[1] == "" and "bob@" not in texts[13] and len({r["text"] for r in found["personal_data"] if r["doc_id"] == 5}) == 2
     assert ids["pieces"].keys() == before.keys() and ids["pieces"][0] == ids["pieces"][1] == 1
     assert ids["pieces"][9] == 2 and ids["pieces"][5] == 2 * before[5]
+
+
+def test_costs_of_frequent_units_are_those_of_the_model_and_computed_once(spark, monkeypatch):
+    words = [f"{a}{b}" for a in ("pre", "press", "prose") for b in ("", "ed", "ing", "ings")]
+    texts = [" ".join(words[i % 7 :] * (1 + i % 3)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    before = {r.doc_id: r.score for r in lm_score.score(docs).collect()}
+    units = lm_score.gather_units(docs)
+    model = lm_score.train(units, *lm_score.count_bits(units))
+    every = [bytes(r.unit) for r in units.collect()]
+    found = lm_score.frequent_costs(units, model)
+    assert sorted(found) == sorted(every)
+    for unit in every:  # alone, so nothing is shared with other units
+        assert found[unit] == pytest.approx(float(model.cost([unit])[0]), rel=1e-12)
+    looked_at = []
+    slots = lm_score._slots
+    monkeypatch.setattr(lm_score, "_slots", lambda flat, c: looked_at.append(len(flat)) or slots(flat, c))
+    model.cost([b"press ", b"pressed ", b"pressing "])
+    assert sum(looked_at) == len(b"press ") + len(b"ed ") + len(b"ing ")
+    monkeypatch.undo()
+    monkeypatch.setattr(lm_score, "FREQUENT", 3)
+    assert len(lm_score.frequent_costs(units, model)) <= 3
+    monkeypatch.setattr(lm_score, "REMEMBERED", 2)
+    after = {r.doc_id: r.score for r in lm_score.score(docs).collect()}
+    assert after == {k: pytest.approx(v, rel=1e-12) for k, v in before.items()}
