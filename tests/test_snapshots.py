@@ -155,3 +155,25 @@ def test_no_table_and_no_match(spark, table, tmp_path):
     assert store.scan_events(spark, path, start=at(40), end=at(41)).count() == 0
     assert store.scan_events(spark, path, end=at(0, 1)).count() == 0
     assert store.scan_events(spark, path, end=at(0, 2)).count() == 1
+
+
+def test_files_are_planned_from_rows_that_compress_well_too(spark, table, tmp_path, monkeypatch):
+    path = f"{tmp_path}/events"
+    rows = [row(f"e{i % 3}", f"u{i % 5}", at(i % 20)) for i in range(1000)]
+    store.write_events(table(rows), path, 0)
+    monkeypatch.setattr(store, "FILE_ROWS", 100)
+    live = store.compact_month(spark, path, MONTH)
+    assert 8 <= len(data_files(f"{path}/month={MONTH}/batch_id={live}")) <= 11
+    assert ids(store.scan_events(spark, path)) == sorted(r["event_id"] for r in rows)
+
+
+def test_zone_maps_do_not_sort_the_rows(spark, table, tmp_path):
+    path = f"{tmp_path}/events"
+    store.write_events(table([row("e", "u", at(1)), row("d", "u", at(5)), row("f", "w", at(3))]), path, 0)
+    zones = store._zone_rows(spark.read.parquet(f"{path}/month={MONTH}/batch_id=0"))
+    plan = zones._jdf.queryExecution().executedPlan().toString()
+    scan_side = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert "HashAggregate" in scan_side and "Sort" not in scan_side
+    (zone,) = zones.drop("file").collect()
+    assert (zone.rows, zone.event_lo, zone.event_hi) == (3, "d", "f")
+    assert (zone.project_lo, zone.project_hi) == (PROJECT, PROJECT) and zone.time_lo < zone.time_hi
