@@ -449,3 +449,10 @@ def test_costs_of_frequent_units_are_those_of_the_model_and_computed_once(spark,
     monkeypatch.setattr(lm_score, "REMEMBERED", 2)
     after = {r.doc_id: r.score for r in lm_score.score(docs).collect()}
     assert after == {k: pytest.approx(v, rel=1e-12) for k, v in before.items()}
+
+
+def test_segmenting_tasks_give_their_memory_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segment, "give_back", lambda: open(f"{tmp_path}/given", "w").close())
+    rows = segment.encode(spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")).collect()
+    assert len(rows) == 2 and all(r.round_trip for r in rows)
+    assert (tmp_path / "given").exists()
