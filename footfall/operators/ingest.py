@@ -238,6 +238,16 @@ def busy_projects(batches: DataFrame) -> DataFrame:
     return most.select("project_id", parts).filter("_parts > 1")
 
 
+def plans_in_use(plans: DataFrame, batches: DataFrame) -> DataFrame:
+    """The plans of projects that sent a batch; no item can meet the others.
+
+    Items then wait for no sort against rules nobody needs: where few projects send, adaptive execution
+    broadcasts their rules, however many plans there are. A task holds the ids of a partition's projects alone.
+    """
+    used = batches.select("project_id").distinct()
+    return plans.join(used.hint("shuffle_hash"), "project_id", "left_semi")
+
+
 def _with_parts(rows: DataFrame, busy: DataFrame | None) -> DataFrame:
     """Adds ``_parts``: how many parts the items of the row's project are spread over."""
     if busy is None:
@@ -412,7 +422,7 @@ def ingest(
             "enforcement": F.lit(None).cast("string"),
         })
     else:
-        checked = check_plans(checked, plans, busy_projects(batches))
+        checked = check_plans(checked, plans_in_use(plans, batches), busy_projects(batches))
     return Ingested(route(checked))
 
 

@@ -79,3 +79,22 @@ def test_rules_are_repeated_for_the_parts_of_busy_projects_alone(spark, monkeypa
     compared = ["batch_id", "index", "outcome", "errors", "violations", "enforcement"]
     spread = ingest(batches, plans).items
     assert sorted(map(str, spread.select(compared).collect())) == sorted(map(str, single.select(compared).collect()))
+
+
+def test_items_meet_the_rules_of_projects_that_send_alone(spark, monkeypatch):
+    batches, plans = sample.raw_batches(spark, SF), sample.tracking_plans(spark, SF)
+    met, check = [], ingest_module.check_plans
+
+    def checked(items, plans, busy):
+        met.append(plans)
+        return check(items, plans, busy)
+
+    monkeypatch.setattr(ingest_module, "check_plans", checked)
+    found = ingest(batches, plans).items
+    senders = {r[0] for r in batches.select("project_id").distinct().collect()}
+    assert len(senders) == 2 and {r["project_id"] for r in met[0].select("project_id").collect()} == senders
+    assert met[0].count() == 6 < plans.count()
+    compared = ["batch_id", "index", "outcome", "errors", "violations", "enforcement"]
+    monkeypatch.setattr(ingest_module, "plans_in_use", lambda plans, batches: plans)
+    whole = ingest(batches, plans).items
+    assert sorted(map(str, found.select(compared).collect())) == sorted(map(str, whole.select(compared).collect()))
