@@ -13,10 +13,11 @@ occurrence. Slots and weights are of fixed size, and so is what is sent to the t
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,11 @@ CHUNK = 1 << 14
 COMMON = 500_000
 #: Frequent units, of at most so many bytes, have their costs computed once for all tasks: there are at most so many.
 FREQUENT, FREQUENT_BYTES = 200_000, 64
-#: Other units whose cost a worker remembers, and bytes of texts whose units are objects at once (one longer text is a slice).
-REMEMBERED = 100_000
-SLICE = 1 << 20
+#: Other units a worker remembers; new units, and units of texts, it gathers before it looks at them.
+REMEMBERED = 200_000
+NEW, GATHERED = 100_000, 2_000_000
+#: Units a task counts bits of: each task sends nearly all slots, so few tasks send less.
+TASK_UNITS = 1_000_000
 _SALTS = mixed(np.arange(256, dtype=np.uint64) + np.uint64(1))
 _ROOT = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
@@ -126,19 +129,6 @@ def _chunks(units: list, size_of) -> Iterator[list]:
         yield units[first:]
 
 
-def _slices(texts: pa.Array) -> Iterator[list[bytes]]:
-    """Texts in runs of about SLICE bytes."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text.as_py())
-        size += len(held[-1])
-        if size >= SLICE:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 @dataclass
 class Model:
     """Log-odds and levels by slot, mixer weights by gate, and the map's log-odds by (last byte, step)."""
@@ -156,7 +146,7 @@ class Model:
             flat, contexts, upto, lengths = _contexts(chunk)
             _, first, at = np.unique(upto, return_index=True, return_inverse=True)
             slots, bits, last = _slots(flat[first], tuple(c[first] for c in contexts))
-            odds = _mixed(self.odds[slots], self.weights, _gates(self.level, slots))
+            odds = _mixed(self.odds.take(slots), self.weights, _gates(self.level, slots))
             odds = _final(odds, self.refined, last)
             parts = (1 + np.exp(np.where(bits == 1, -odds, odds))).reshape(-1, 8)  # each at most 1 + exp(14)
             parts = parts[:, :4] * parts[:, 4:]
@@ -258,15 +248,31 @@ def _weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes],
             yield units, np.repeat(n, 8 * np.fromiter(map(len, units), np.int64, len(units)))
 
 
+def _sorted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[bytes, int]]]:
+    """Sorted lists of about NEW (unit, n): what many units begin with alike stands together."""
+    held: list[tuple[bytes, int]] = []
+    for batch in batches:
+        held += zip(batch.column("unit").to_pylist(), batch.column("n").to_pylist(), strict=True)
+        if len(held) >= NEW:
+            yield sorted(held)
+            held = []
+    yield sorted(held)
+
+
 def count_bits(units: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones seen in each slot, over all units with their counts."""
+    """Zeros and ones seen in each slot, over all units with their counts. What units begin with alike is looked at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(2 * int(_FIRST[-1]))
-        for chunk, n in _weighted(batches):
-            slots, bits, _ = _bits(chunk)
-            for row in slots:
-                np.add.at(seen, 2 * row + bits, n)
+        for pairs in _sorted_pairs(batches):
+            for chunk in _chunks(pairs, lambda pair: len(pair[0])):
+                flat, contexts, upto, lengths = _contexts([u for u, _ in chunk])
+                _, first, at = np.unique(upto, return_index=True, return_inverse=True)
+                n = np.bincount(at, np.repeat(np.array([n for _, n in chunk], np.float64), lengths))
+                slots, bits, _ = _slots(flat[first], tuple(c[first] for c in contexts))
+                n = np.repeat(n, 8)
+                for row in slots:
+                    np.add.at(seen, 2 * row + bits, n)
         seen = seen.reshape(-1, 2)
         some = np.flatnonzero(seen.any(axis=1))
         for part in np.array_split(some, max(1, len(some) // 100_000)):
@@ -278,7 +284,8 @@ def count_bits(units: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 names=["slot", "zeros", "ones"],
             )
 
-    rows = units.mapInArrow(run, "slot int, zeros long, ones long").groupBy("slot").agg(
+    some = units.coalesce(max(1, math.ceil(units.count() / TASK_UNITS)))
+    rows = some.mapInArrow(run, "slot int, zeros long, ones long").groupBy("slot").agg(
         F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")
     )
     zeros, ones = np.zeros(int(_FIRST[-1])), np.zeros(int(_FIRST[-1]))
@@ -375,6 +382,87 @@ def frequent_costs(units: DataFrame, model: Model) -> dict[bytes, float]:
     return dict(zip(table.column("unit").to_pylist(), table.column("cost").to_pylist(), strict=True))
 
 
+class _Numbers(dict):
+    """Units by number; a new one gets the next."""
+
+    def __missing__(self, unit: bytes) -> int:
+        number = self[unit] = len(self)
+        return number
+
+
+@dataclass
+class _Facts:
+    """What a text adds up over its units, by number of the unit: bits, words, known words, their log10(c + 1). And words not
+    known, one unit's after the other's, with the first one and how many there are."""
+
+    bits: np.ndarray
+    words: np.ndarray
+    known: np.ndarray
+    logs: np.ndarray
+    first: np.ndarray
+    many: np.ndarray
+    rare: list[bytes]
+
+    def moved(self, places: np.ndarray) -> _Facts:
+        """With unit k at ``places[k]``."""
+        order = np.empty(len(places), np.int64)
+        order[places] = np.arange(len(places))
+        columns = (self.bits, self.words, self.known, self.logs, self.first, self.many)
+        return _Facts(*(c[order] for c in columns), self.rare)
+
+    def extended(self, more: _Facts) -> _Facts:
+        joined = [
+            np.concatenate([mine, its])
+            for mine, its in (
+                (self.bits, more.bits), (self.words, more.words), (self.known, more.known), (self.logs, more.logs),
+                (self.first, more.first + len(self.rare)), (self.many, more.many),
+            )
+        ]
+        return _Facts(*joined, self.rare + more.rare)
+
+    def batch(self, rows: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
+        """Sums of each text, given the numbers of its units (one at least), and its words that are not known."""
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        units = np.concatenate(found)
+        starts = np.cumsum(sizes) - sizes
+        n_words, n_known, sums, bits = (
+            np.add.reduceat(column.take(units), starts) for column in (self.words, self.known, self.logs, self.bits)
+        )
+        odd = np.flatnonzero(self.many.take(units))
+        text = np.repeat(np.arange(len(found)), sizes)[odd]
+        pairs, times = np.unique(text * len(self.bits) + units[odd], return_counts=True)
+        text, units = np.divmod(pairs, len(self.bits))
+        many = self.many[units]
+        ends = np.cumsum(many)
+        words = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[units] - (ends - many), many)
+        cuts = np.append(0, np.cumsum(np.bincount(text, many, len(found)))).astype(np.int32)
+        rare = pa.array(self.rare, pa.binary()).take(pa.array(words))
+        return pa.RecordBatch.from_arrays(
+            [
+                rows.column("row"), rows.column("doc_id"), pa.array(n_words + 1), pa.array(n_known), pa.array(sums),
+                pa.array(bits), pa.array([len(t.as_py()) for t in rows.column("text")], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(cuts), rare),
+                pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.repeat(times, many))),
+            ],
+            names=["row", "doc_id", "n_tokens", "n_known", "sums", "bits", "n_bytes", "rare", "times"],
+        )
+
+
+def _facts(units: list[bytes], bits: np.ndarray, known: dict[bytes, int]) -> _Facts:
+    """Of units with their costs. Words never reach across units, so counts of words add up too."""
+    words = [unit[:-1].lower().split() for unit in units]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = list(chain.from_iterable(words))
+    c = np.fromiter((known.get(w, 0) for w in flat), np.float64, len(flat))
+    of = np.repeat(np.arange(len(units)), sizes)
+    rare = np.flatnonzero(c == 0)
+    many = np.bincount(of[rare], minlength=len(units))
+    return _Facts(
+        bits, sizes, sizes - many, np.bincount(of, np.log10(c + 1), len(units)), np.cumsum(many) - many, many,
+        [flat[k] for k in rare.tolist()],
+    )
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 
@@ -395,45 +483,34 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known, costs = opened(shared)
+        numbers = _Numbers(zip(costs, range(len(costs)), strict=True))
+        facts = _facts(list(costs), np.fromiter(costs.values(), np.float64, len(costs)), known)
         frequent = len(costs)  # these come first and stay
-        cut = new = fresh = None
+        most = facts
+
+        def scored(rows: pa.RecordBatch, found: list[np.ndarray]) -> pa.RecordBatch:
+            nonlocal facts
+            new = sorted(islice(numbers, len(facts.bits), None))
+            places = np.fromiter(map(numbers.__getitem__, new), np.int64, len(new)) - len(facts.bits)
+            facts = facts.extended(_facts(new, model.cost(new), known).moved(places))
+            made = facts.batch(rows, found)
+            if len(numbers) - frequent > REMEMBERED:
+                facts = most
+                while len(numbers) > frequent:
+                    numbers.popitem()  # the last one
+            return made
+
         for batch in batches:
-            bits, sizes = [], []
-            n_tokens, n_known, sums, rare, times = [], [], [], [], []
-            for texts in _slices(batch.column("text")):
-                cut = [units_of(t) for t in texts]
-                new = sorted({u for units in cut for u in units}.difference(costs))
-                fresh = dict(zip(new, model.cost(new).tolist(), strict=True)) if new else {}
-                if len(costs) - frequent + len(fresh) > REMEMBERED:
-                    here = [(u, costs[u]) for u in {u for units in cut for u in units}.difference(fresh)]
-                    costs = dict(islice(costs.items(), frequent))
-                    costs.update(here)
-                costs.update(fresh)
-                bits += [sum(map(costs.__getitem__, units)) for units in cut]
-                sizes += map(len, texts)
-            del cut, new, fresh
-            for scalar in batch.column("text"):
-                text = scalar.as_py()
-                counts: Counter = Counter()
-                for words in blank_tokens(text):
-                    counts.update(words)
-                seen = [known.get(w, 0) for w in counts]
-                c = np.array(seen, np.float64)
-                tf = np.fromiter(counts.values(), np.int64, len(counts))
-                n_tokens.append(int(tf.sum()) + 1)
-                n_known.append(int(tf[c > 0].sum()))
-                sums.append(float((tf * np.log10(c + 1))[c > 0].sum()))
-                rare.append([w for w, k in zip(counts, seen, strict=True) if not k])
-                times.append([n for n, k in zip(counts.values(), seen, strict=True) if not k])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"), batch.column("doc_id"), pa.array(n_tokens, pa.int64()),
-                    pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(bits, pa.float64()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64())),
-                ],
-                names=["row", "doc_id", "n_tokens", "n_known", "sums", "bits", "n_bytes", "rare", "times"],
-            )
+            found, first, size = [], 0, 0
+            for k, text in enumerate(batch.column("text")):
+                units = units_of(text.as_py())
+                found.append(np.fromiter(map(numbers.__getitem__, units), np.int32, len(units)))
+                size += len(units)
+                if size >= GATHERED or len(numbers) - len(facts.bits) >= NEW:
+                    yield scored(batch.slice(first, k + 1 - first), found)
+                    found, first, size = [], k + 1, 0
+            if found:
+                yield scored(batch.slice(first), found)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     scored = save(

@@ -456,3 +456,19 @@ def test_segmenting_tasks_give_their_memory_back(spark, tmp_path, monkeypatch):
     rows = segment.encode(spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")).collect()
     assert len(rows) == 2 and all(r.round_trip for r in rows)
     assert (tmp_path / "given").exists()
+
+
+def test_units_a_worker_meets_are_numbered_and_their_words_added_up():
+    known = {b"some": 9, b"more": 99}
+    numbers, facts = lm_score._Numbers(), lm_score._facts([], np.zeros(0), known)
+    texts = [b"Some rare\tmore rare", b"", b"rare more more some other"]
+    found = [np.array([numbers[u] for u in lm_score.units_of(t)], np.int32) for t in texts]
+    new = sorted(numbers)
+    places = np.array([numbers[u] for u in new])
+    facts = facts.extended(lm_score._facts(new, np.array([float(len(u)) for u in new]), known).moved(places))
+    rows = lm_score.pa.RecordBatch.from_pydict({"row": [0, 1, 2], "doc_id": [7, 8, 9], "text": texts})
+    got = facts.batch(rows, found).to_pylist()
+    assert [(r["n_tokens"], r["n_known"], r["bits"], r["n_bytes"]) for r in got] == [(5, 2, 20, 19), (1, 0, 1, 0), (6, 3, 26, 25)]
+    assert [round(r["sums"], 9) for r in got] == [3, 0, 5]
+    rare = [sorted(zip(r["rare"], r["times"])) for r in got]
+    assert rare == [[(b"rare", 1), (b"rare", 1)], [], [(b"other", 1), (b"rare", 1)]]
