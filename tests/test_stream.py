@@ -5,6 +5,7 @@ import shutil
 import time
 import uuid
 from datetime import UTC, datetime, timedelta
+from pathlib import Path
 
 import pytest
 from rows import PROJECT, at, row
@@ -454,3 +455,24 @@ def test_ids_are_remembered_by_bucket_not_one_by_one(spark, tmp_path):
     got = flagged.where("copies = 0").drop("copies", "kafka_partition", "kafka_offset")
     assert got.exceptAll(wanted).isEmpty() and got.count() == wanted.count() == 300
     assert query.lastProgress.stateOperators[0].numRowsTotal <= 50
+
+
+def test_a_micro_batch_is_staged_as_files_not_held_in_memory(runner):
+    """Nothing is cached while a micro-batch is stored, and nothing of it is staged afterwards."""
+    cached, staged = [], []
+
+    def sink(letters, batch_id):
+        cached.append(runner.spark.sparkContext._jsc.getPersistentRDDs().size())
+        staged.extend(p.name for p in (Path(runner.root) / "store" / "staging" / str(batch_id)).iterdir())
+        letters.write.parquet(f"{runner.root}/letters")
+
+    early = message(timestamp="0001-01-01T00:00:00+00:00", event=5)  # no time that Parquet takes
+    same = message(anonymous_id="anon-1")
+    runner.send(same, same, b"{broken", early)
+    raw = read_raw_stream(runner.spark, path=f"{runner.root}/log")
+    job.start_stream(raw, runner.store, dedup=runner.dedup, available_now=True, letter_sink=sink).awaitTermination()
+    assert cached == [0]
+    assert sorted(staged) == (["parsed", "rows"] if runner.dedup == "exact" else ["parsed"])
+    assert not list((Path(runner.root) / "store" / "staging").iterdir())
+    assert runner.rows().count() == 1 and runner.spark.read.parquet(f"{runner.root}/letters").count() == 2
+    assert runner.report(consumed=4) == [(4, 1, 1, 2)]
