@@ -476,3 +476,20 @@ def test_a_micro_batch_is_staged_as_files_not_held_in_memory(runner):
     assert not list((Path(runner.root) / "store" / "staging").iterdir())
     assert runner.rows().count() == 1 and runner.spark.read.parquet(f"{runner.root}/letters").count() == 2
     assert runner.report(consumed=4) == [(4, 1, 1, 2)]
+
+
+def test_ids_of_the_state_store_are_on_disk_whatever_the_session_says(spark, tmp_path):
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.unset(provider)  # Spark's default has them on the heap
+    try:
+        runner = Runner(spark, str(tmp_path), "state")
+        same = message()
+        runner.send(same, same)
+        runner.run()
+        runner.send(same, message())
+        progress = runner.run().lastProgress
+    finally:
+        spark.conf.set(provider, before)
+    assert any("rocksdb" in name for name in progress.stateOperators[0].customMetrics)
+    assert runner.rows().count() == 2 and runner.report(consumed=4) == [(2, 1, 1, 0), (2, 1, 1, 0)]
